@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.bpe import encoded
+from siltstone.llm.knn import most_similar, similar_pairs
+from siltstone.llm.leakage import leaked
 from siltstone.llm.neardup import finding_duplicates
 from siltstone.llm.survivorship import finding_survivors
 from siltstone.sources.tables import table
@@ -28,7 +31,24 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return finding_duplicates(table(spark, folder, "findings")).membership().withColumnRenamed("id", "finding_seq")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(table(spark, folder, "vectors"))
+
+
+def p6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar others of every usable vector."""
+    return most_similar(table(spark, folder, "vectors")).select("id", "other", F.round("cos", 6).alias("cos"))
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p6_found, p6_topk, p7_ids, p8_found)}
 
 P1_SQL = r"""
 WITH f AS (
@@ -61,4 +81,22 @@ pairs AS (
 SELECT seq_a, seq_b FROM pairs WHERE shared >= 0.6 * (na + nb - shared)
 """
 
-ORACLES = {"p1_found": P1_SQL, "p3_found": P3_SQL}
+P6_SQL = """
+WITH u AS (
+  SELECT id, any_value(vector) AS v FROM vectors
+  WHERE id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY id
+), d AS (SELECT id, CAST(CAST(v AS DOUBLE[]) AS DOUBLE[64]) AS v FROM u),
+c AS (SELECT a.id AS id, b.id AS other, array_cosine_similarity(a.v, b.v) AS cos FROM d a JOIN d b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) AS rn FROM c)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE rn <= 5 AND cos >= 0.85
+"""
+
+P8_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS run FROM d WHERE len(w) >= 12),
+iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS run FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)
+"""
+
+ORACLES = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL}
