@@ -9,6 +9,7 @@ from siltstone.llm.bpe import encoded
 from siltstone.llm.knn import most_similar, similar_pairs
 from siltstone.llm.leakage import leaked
 from siltstone.llm.neardup import finding_duplicates
+from siltstone.llm.reading import reading_levels
 from siltstone.llm.survivorship import finding_survivors
 from siltstone.sources.tables import table
 
@@ -48,7 +49,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p6_found, p6_topk, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_samples"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p6_found, p6_topk, p7_ids, p8_found, p9_found)}
 
 P1_SQL = r"""
 WITH f AS (
