@@ -10,6 +10,7 @@ from siltstone.llm.knn import most_similar, similar_pairs
 from siltstone.llm.leakage import leaked
 from siltstone.llm.neardup import finding_duplicates
 from siltstone.llm.reading import reading_levels
+from siltstone.llm.splitting import cut_lines, pieces
 from siltstone.llm.survivorship import finding_survivors
 from siltstone.sources.tables import table
 
@@ -32,6 +33,14 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return finding_duplicates(table(spark, folder, "findings")).membership().withColumnRenamed("id", "finding_seq")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_lines(table(spark, folder, "code_chunks"))
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces(table(spark, folder, "code_chunks"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "vectors"))
 
@@ -53,7 +62,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p6_found, p6_topk, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p4_found, p4_pieces, p6_found, p6_topk, p7_ids, p8_found, p9_found)}
 
 P1_SQL = r"""
 WITH f AS (
