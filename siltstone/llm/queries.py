@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import encoded
+from siltstone.llm.handwritten import classified, not_handwritten
 from siltstone.llm.knn import most_similar, similar_pairs
 from siltstone.llm.leakage import leaked
 from siltstone.llm.neardup import finding_duplicates
@@ -41,6 +42,15 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces(table(spark, folder, "code_chunks"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return not_handwritten(table(spark, folder, "code_chunks"))
+
+
+def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """All files with their kind and the shares it rests on."""
+    return classified(table(spark, folder, "code_chunks")).select("repo", "file", "kind", *[F.round(c, 4).alias(c) for c in ("mean_line", "space_share", "literal_share", "encoded_share", "different_share")])
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "vectors"))
 
@@ -62,7 +72,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p4_found, p4_pieces, p6_found, p6_topk, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_kinds, p6_found, p6_topk, p7_ids, p8_found, p9_found)}
 
 P1_SQL = r"""
 WITH f AS (
