@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,11 @@ MINIFIED_NAMES = r"[.-]min\.(?:js|mjs|css)$"
 GENERATED_HEAD = r"(?i)^(?:code generated\b|auto-?generated (?:file\b|by\b)|<auto-generated|@generated\b|generated (?:from|by)\b|this file (?:was|is) (?:automatically |auto-?)?generated\b|automatically generated\b|produced by \S+ v?\d)"
 HOLDER_HEAD = r"(?i)\bcopyright\s*(?:\(c\)|©|\d)|^\(c\)\s*\d{4}|^spdx-(?:filecopyrighttext|license)|^@licen[sc]e\b|^author\s*:|^this file is part of\b|^part of\b|^imported from\b|^vendored from\b"
 HEAD_LINES = 10
+BLANKS = " \t\r\n"
 
 LITERALS = r"""[bB](?=['"])|"[^"\n]*"|'[^'\n]*'|\b[0-9][\w.]*|\b(?:true|false|null|None|True|False)\b|[\s\[\]{}(),:;+-]"""
+#: How a line of nothing but literals can begin; most lines of code are told from one by this alone.
+LITERAL_START = r"""^\s*(?:[\[\]{}(),:;+0-9"'-]|[bB]["']|true|false|null|None|True|False)"""
 NUMBERS = r"[0-9a-fx]*\d[0-9a-f]*"
 
 
@@ -41,9 +46,10 @@ def lines_of(text: Column) -> Column:
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """Layout sums of each chunk, each chunk_seq once."""
     text = F.col("text")
-    lines = chunks.where(F.col("file").isNotNull() & F.col("repo").isNotNull()).withColumn("lines", lines_of(F.coalesce(text, F.lit(""))))
-    literal = F.filter("lines", lambda x: F.length(F.regexp_replace(x, LITERALS, "")) == 0)
+    lines = chunks.where(F.col("file").isNotNull() & F.col("repo").isNotNull()).withColumn("whole", F.coalesce(text, F.lit(""))).withColumn("lines", lines_of(F.col("whole")))
+    literal = F.filter("lines", lambda x: F.when(x.rlike(LITERAL_START), F.length(F.regexp_replace(x, LITERALS, "")) == 0).otherwise(F.lit(False)))
     of = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
+    among = lambda letters: (F.length("whole") - F.length(F.translate("whole", letters, ""))).cast("bigint")
     comments = F.transform(
         F.filter(F.slice("lines", 1, HEAD_LINES), lambda x: x.rlike(r"^\s*(?://|#|/?\*|<!--)")), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:///?|/\*+!?|#+!?|\*+|<!--)\s*", ""))
     )
@@ -57,10 +63,10 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
         of(F.col("lines")).alias("n_chars"),
         of(literal).alias("n_literal"),
         F.array_max(F.transform("lines", F.length)).alias("max_line"),
-        F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^ \t\r\n]", "")).cast("bigint").alias("n_space"),
-        F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9]", "")).cast("bigint").alias("n_alnum"),
-        F.length(F.coalesce(text, F.lit(""))).cast("bigint").alias("n_all"),
-        of(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[A-Za-z0-9+/=]{{{ENCODED_RUN},}}"), 0)).alias("n_encoded"),
+        among(BLANKS).alias("n_space"),
+        among(string.ascii_letters + string.digits).alias("n_alnum"),
+        F.length("whole").cast("bigint").alias("n_all"),
+        of(F.regexp_extract_all("whole", F.lit(rf"[A-Za-z0-9+/=]{{{ENCODED_RUN},}}"), 0)).alias("n_encoded"),
         comments.alias("head"),
     )
     return per_chunk.dropDuplicates(["chunk_seq"])
