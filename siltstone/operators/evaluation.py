@@ -77,7 +77,11 @@ def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def regressions(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """metric and verdict (regression, improvement or same) of each group in both, by the tolerances above."""
     names = ["recall", "precision", "f1", "false_positives_per_case"]
-    long = lambda df, as_: df.unpivot([F.col(k) for k in keys], [F.col(n) for n in names], "metric", as_)
+
+    def long(df: DataFrame, value: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in names]))
+        return df.select(*keys, each.alias("x")).select(*keys, "x.metric", F.col("x.v").alias(value))
+
     joined = long(current, "now").join(long(baseline, "before"), [*keys, "metric"])
     rise = F.when(F.col("metric") == "false_positives_per_case", F.col("before") - F.col("now")).otherwise(F.col("now") - F.col("before"))
     slack = F.when(F.col("metric") == "false_positives_per_case", FP_RISE).otherwise(METRIC_DROP)

@@ -27,7 +27,8 @@ def _scores(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def each(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query": [], "id": [], "score": []})
-        rows = rows.sort_values("id", kind="stable")
+        queries = queries.rename(columns={"q_id": "id", "q_vector": "vector"})
+        rows = rows.rename(columns={"r_id": "id", "r_vector": "vector"}).sort_values("id", kind="stable")
         n = max(max(map(len, queries["vector"])), max(map(len, rows["vector"])))
         a, b = matrix(queries, n), matrix(rows, n)
         product = a @ b.T
@@ -51,11 +52,11 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     cores = rows.sparkSession.sparkContext.defaultParallelism
     tiles = max(1, math.ceil(n_rows / TILE_ROWS), min(cores, math.ceil(n_rows / QUERY_ROWS)))
     blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
-    placed = lambda df, own, n_own, other, n_other: df.where(F.col("vector").isNotNull()).select(
-        "id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+    placed = lambda df, side, own, n_own, other, n_other: df.where(F.col("vector").isNotNull()).select(
+        F.col("id").alias(f"{side}_id"), F.col("vector").alias(f"{side}_vector"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
     )
-    q = placed(queries, "block", blocks, "tile", tiles).groupBy("block", "tile")
-    r = placed(rows, "tile", tiles, "block", blocks).groupBy("block", "tile")
+    q = placed(queries, "q", "block", blocks, "tile", tiles).groupBy("block", "tile")
+    r = placed(rows, "r", "tile", tiles, "block", blocks).groupBy("block", "tile")
     q_type, r_type = queries.schema["id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
     found = q.cogroup(r).applyInPandas(_scores(k), f"query {q_type}, id {r_type}, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))

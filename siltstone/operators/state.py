@@ -72,7 +72,7 @@ def ancestors(edges: DataFrame, starts: DataFrame, rounds: int | None = None) ->
     reach = staged(edges.where("parent IS NOT NULL").select("sha", F.col("parent").alias("up")).distinct(), "edges")
     n, i = reach.count(), 0
     while rounds is None or i < rounds:
-        longer = reach.unionByName(reach.alias("a").join(reach.withColumnsRenamed({"sha": "up", "up": "top"}), "up").select("sha", F.col("top").alias("up"))).distinct()
+        longer = reach.unionByName(reach.join(reach.select(F.col("sha").alias("up"), F.col("up").alias("top")), "up").select("sha", F.col("top").alias("up"))).distinct()
         longer, i = staged(longer, "edges"), i + 1
         m = longer.count()
         if m == n:
@@ -85,7 +85,7 @@ def ancestors(edges: DataFrame, starts: DataFrame, rounds: int | None = None) ->
 def review_modes(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """mode of each target (key, head, last, from_patch): up-to-date if last is head, incremental if it is an ancestor of it, else full (as for patch files, without
     a head or a last review, and after diverging)."""
-    reach = ancestors(edges, targets.where("head IS NOT NULL").select(F.col("head").alias("start")).distinct()).withColumnsRenamed({"start": "head", "sha": "last"}).withColumn("_up", F.lit(True))
+    reach = ancestors(edges, targets.where("head IS NOT NULL").select(F.col("head").alias("start")).distinct()).select(F.col("start").alias("head"), F.col("sha").alias("last"), F.lit(True).alias("_up"))
     mode = (
         F.when(F.col("from_patch") | F.col("head").isNull() | F.col("last").isNull(), "full").when(F.col("head") == F.col("last"), "up-to-date").when(F.col("_up"), "incremental").otherwise("full")
     )

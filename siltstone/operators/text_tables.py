@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The lines of a diff and of analyzers' logs.
-FILE_HEADER = r"^diff --git a/(.+?) b/(.+)$"
+FILE_HEADER = r"(?d)^diff --git a/(.+?) b/(.+)$"
 HUNK_HEADER = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-CLANG_TIDY = r"^(.*?):(\d+):(\d+):\s+(error|warning|note):\s+(.*?)(?:\s+\[([^\]]+)\])?$"
-GO_VET = r"^(.*?):(\d+):(\d+):\s+(.*)$"
+CLANG_TIDY = r"(?d)^(.*?):(\d+):(\d+):\s+(error|warning|note):\s+(.*?)(?:\s+\[([^\]]+)\])?$"
+GO_VET = r"(?d)^(.*?):(\d+):(\d+):\s+(.*)$"
 
 CHUNK_CHARS, CHUNK_LINES = 4_000, 200
 
@@ -24,9 +24,9 @@ def diff_hunks(patches: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A line's number is the hunk's start and the lines before it in the hunk that are neither removed nor a "\\ No newline" note. As
     in the format's common readers, an added line that looks like +++ and a removed one like --- are taken for context.
-    A patch's lines are put in order within the patch; patches are spread by key. Lines before the first file are skipped.
+    A patch's lines are put in order within the patch; patches are spread by key. A carriage return at a line's end doesn't count. Lines before the first file are skipped.
     """
-    lines = numbered_lines(patches, [key], text)
+    lines = numbered_lines(patches, [key], text).withColumn("line", F.regexp_replace("line", r"\r\z", ""))
     line = F.col("line")
     is_file, is_hunk = line.rlike(FILE_HEADER), line.rlike(HUNK_HEADER)
     upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
