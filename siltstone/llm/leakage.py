@@ -33,9 +33,10 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
 
     A window of `run` words of an item is held exactly if all its shingles are, so its rarest one by document frequency over the
     whole corpus is a necessary prefix of length one. Positions of item shingles in the documents are found by an equi-join on
-    hashes and counted; the prefixes are joined to them, which fixes where the window would start; windows that don't fit
-    into the document are ruled out by position and length, and the rest are compared word by word with the document's window of the
-    item's size.
+    hashes and counted; the prefixes are joined to them, which fixes how the item would lie along the document; windows that don't
+    fit into it are ruled out by position and length. Along what is left, the shingles of both texts must be equal at every
+    position of a window: run - 2 consecutive 64-bit hashes of three words, each overlapping the next by two. So texts are read once and
+    only positions of item shingles are shuffled.
 
     The item side is broadcast only while its counted rows are within BROADCAST_ROWS. Documents are never collected or grouped: a
     source or a copied text with a third of all rows is a third of independent rows. Null, empty and shorter texts of either
@@ -43,7 +44,7 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     """
     item_words = items.select("item_id", words_of(F.col("text")).alias("words")).where((F.size("words") >= run) & F.col("item_id").isNotNull())
     windows = item_words.select("item_id", "words", F.posexplode(shingles_of(F.col("words")))).select("item_id", F.col("pos").alias("item_pos"), F.col("col").alias("shingle"), "words")
-    windows = staged(windows.select("item_id", F.xxhash64("words").alias("variant"), "item_pos", "shingle", F.size("words").alias("item_size")), "item-shingles")
+    windows = staged(windows.select("item_id", F.xxhash64("words").alias("variant"), "item_pos", "shingle", F.size("words").alias("item_size")).distinct(), "item-shingles")
     wanted = windows.select("shingle").distinct()
     texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * run - 1)).select("doc_id", words_of(F.col("text")).alias("words"))
     places = texts.where(F.size("words") >= run).select("doc_id", F.size("words").alias("doc_size"), F.posexplode(shingles_of(F.col("words"))).alias("doc_pos", "shingle"))
@@ -56,11 +57,13 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     prefixes = ranked.withColumn("rarest", F.min("rarity").over(ahead)).where((F.col("item_pos") + run <= F.col("item_size")) & (F.col("rarest.df") > 0))
     prefixes = prefixes.select("item_id", "variant", F.col("item_pos").alias("window_at"), (F.col("rarest.at") - F.col("item_pos")).alias("offset"), F.col("rarest.shingle").alias("shingle"))
     prefixes = staged(prefixes, "item-prefixes")
-    starts = hits.join(small(prefixes), "shingle").withColumn("start", F.col("doc_pos") - F.col("offset"))
-    starts = starts.where((F.col("start") >= 0) & (F.col("start") + run <= F.col("doc_size"))).select("doc_id", "item_id", "variant", "window_at", "start").distinct()
-    item_windows = item_words.select("item_id", F.xxhash64("words").alias("variant"), "words").distinct().select(
-        "item_id", "variant", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (run - 1)), lambda i: F.array_join(F.slice(F.col("words"), i, run), " "))).alias("window_at", "window")
-    )
-    compared = texts.join(starts, "doc_id").withColumn("found", F.array_join(F.slice("words", F.col("start") + 1, run), " ")).drop("words")
-    compared = compared.join(small(item_windows), ["item_id", "variant", "window_at"]).where(F.col("found") == F.col("window"))
-    return compared.select("doc_id", "item_id").distinct()
+    # where a prefix stands, an item may lie along the diagonal doc_pos - item_pos; its window must fit into the document
+    lies = F.col("doc_pos") - F.col("offset") - F.col("window_at")
+    begin = F.col("doc_pos") - F.col("offset")
+    likely = hits.join(small(prefixes), "shingle").where((begin >= 0) & (begin + run <= F.col("doc_size"))).select("doc_id", "item_id", "variant", lies.alias("diagonal")).distinct()
+    aligned = hits.join(small(windows), "shingle").select("doc_id", "item_id", "variant", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_pos")
+    aligned = aligned.join(likely, ["doc_id", "item_id", "variant", "diagonal"], "left_semi")
+    # shingles at consecutive positions of both texts: a run of `reach` of them is a window
+    along = Window.partitionBy("doc_id", "item_id", "variant", "diagonal").orderBy("item_pos")
+    runs = aligned.withColumn("island", F.col("item_pos") - F.row_number().over(along)).groupBy("doc_id", "item_id", "variant", "diagonal", "island").agg(F.count("*").alias("length"))
+    return runs.where(F.col("length") >= reach).select("doc_id", "item_id").distinct()
