@@ -14,6 +14,8 @@ from siltstone.functions.review import keywords
 
 #: Rows of a tile of the collection and of a block of queries; the two and their products fit into one task.
 TILE_ROWS, QUERY_ROWS = 65_536, 2_048
+#: Records of a block of keyword search.
+BLOCK_RECORDS = 20_000
 
 
 def _scores(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -67,10 +69,14 @@ def keyword_recall(queries: DataFrame, memory: DataFrame, k: int = 3) -> DataFra
     """For each query (query_id, category, query) the k records of its category with the most query words in title or text (as parts of words, repeats
     counted; at least one): query_id, id, score, place. Ties go to the smaller seq.
 
-    A query's distinct words are matched with a category's records by an equi-join on category; each pair is scored in place.
+    The records of a category are dealt into blocks of about BLOCK_RECORDS by their hash and every query goes to each block of its category:
+    the join is on (category, block), so a category with a third of all records spreads over many tasks. Queries are a stated set,
+    much smaller than the records.
     """
+    blocks = max(1, math.ceil(memory.count() / BLOCK_RECORDS))
     terms = queries.select("query_id", "category", keywords(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    pool = memory.select("id", "seq", "category", F.lower(F.concat_ws(" ", "title", "text")).alias("said"))
-    scored = terms.join(pool, "category").withColumn("score", F.size(F.filter("terms", lambda t: F.contains(F.col("said"), t)))).where("score > 0")
+    terms = terms.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pool = memory.select("id", "seq", "category", F.lower(F.concat_ws(" ", "title", "text")).alias("said"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    scored = terms.join(pool, ["category", "block"]).withColumn("score", F.size(F.filter("terms", lambda t: F.contains(F.col("said"), t)))).where("score > 0")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))
     return scored.select("query_id", "id", "seq", F.col("score").cast("long").alias("score")).withColumn("place", place).where(F.col("place") <= k).drop("seq")

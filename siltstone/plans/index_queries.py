@@ -166,13 +166,13 @@ EXEMPLARS_SQL = with_views("f", more=MEMORY) + """SELECT category, id, place FRO
 
 
 def keyword_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Memory recalled by the note of every label, within its category."""
-    queries = views.labels(spark, folder).where("note IS NOT NULL").select(F.col("gt_seq").alias("query_id"), "category", F.col("note").alias("query"))
+    """Memory recalled by the note of every label whose number is divisible by 50, within its category."""
+    queries = views.labels(spark, folder).where("note IS NOT NULL AND gt_seq % 50 = 0").select(F.col("gt_seq").alias("query_id"), "category", F.col("note").alias("query"))
     memory = st.merged_memory(_memory(spark, folder)).select("id", "seq", "category", "title", "text")
     return rt.keyword_recall(queries, memory).select("query_id", "id", "score", F.col("place").cast("long").alias("place"))
 
 
-RECALL_SQL = with_views("f", "g", more=MEMORY) + r""", q AS (SELECT gt_seq AS query_id, category, list_filter(string_split_regex(lower(note), '[^a-zA-Z0-9_]+'), lambda t: length(t) > 3) AS terms FROM g WHERE note IS NOT NULL),
+RECALL_SQL = with_views("f", "g", more=MEMORY) + r""", q AS (SELECT gt_seq AS query_id, category, list_filter(string_split_regex(lower(note), '[^a-zA-Z0-9_]+'), lambda t: length(t) > 3) AS terms FROM g WHERE note IS NOT NULL AND gt_seq % 50 = 0),
 z AS (SELECT q.query_id, mm.id, mm.seq, len(list_filter(q.terms, lambda t: contains(lower(mm.title || ' ' || mm.text), t))) AS score FROM q JOIN mm USING (category)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS place FROM z WHERE score > 0)
 SELECT query_id, id, score, place FROM r WHERE place <= 3"""
