@@ -40,14 +40,14 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
 
     The item side is broadcast only while its counted rows are within BROADCAST_ROWS. Documents are never collected or grouped: a
     source or a copied text with a third of all rows is a third of independent rows. Null, empty and shorter texts of either
-    side hold nothing; a repeated item id is compared with each of its texts; empty tables give no rows.
+    side hold nothing; a repeated id of either side is compared with each of its texts; empty tables give no rows.
     """
     item_words = items.select("item_id", words_of(F.col("text")).alias("words")).where((F.size("words") >= run) & F.col("item_id").isNotNull())
     windows = item_words.select("item_id", "words", F.posexplode(shingles_of(F.col("words")))).select("item_id", F.col("pos").alias("item_pos"), F.col("col").alias("shingle"), "words")
     windows = staged(windows.select("item_id", F.xxhash64("words").alias("variant"), "item_pos", "shingle", F.size("words").alias("item_size")).distinct(), "item-shingles")
     wanted = windows.select("shingle").distinct()
-    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * run - 1)).select("doc_id", words_of(F.col("text")).alias("words"))
-    places = texts.where(F.size("words") >= run).select("doc_id", F.size("words").alias("doc_size"), F.posexplode(shingles_of(F.col("words"))).alias("doc_pos", "shingle"))
+    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * run - 1)).select("doc_id", F.xxhash64("text").alias("doc_variant"), words_of(F.col("text")).alias("words"))
+    places = texts.where(F.size("words") >= run).select("doc_id", "doc_variant", F.size("words").alias("doc_size"), F.posexplode(shingles_of(F.col("words"))).alias("doc_pos", "shingle"))
     hits = staged(places.join(small(wanted), "shingle"), "shingle-hits")
     frequency = hits.select("doc_id", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("df"))
     # the rarest shingle of the windows that begin at item_pos - reach + 1 .. item_pos: every window names its prefix
@@ -57,13 +57,14 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     prefixes = ranked.withColumn("rarest", F.min("rarity").over(ahead)).where((F.col("item_pos") + run <= F.col("item_size")) & (F.col("rarest.df") > 0))
     prefixes = prefixes.select("item_id", "variant", F.col("item_pos").alias("window_at"), (F.col("rarest.at") - F.col("item_pos")).alias("offset"), F.col("rarest.shingle").alias("shingle"))
     prefixes = staged(prefixes, "item-prefixes")
+    line = ["doc_id", "doc_variant", "item_id", "variant", "diagonal"]
     # where a prefix stands, an item may lie along the diagonal doc_pos - item_pos; its window must fit into the document
     lies = F.col("doc_pos") - F.col("offset") - F.col("window_at")
     begin = F.col("doc_pos") - F.col("offset")
-    likely = hits.join(small(prefixes), "shingle").where((begin >= 0) & (begin + run <= F.col("doc_size"))).select("doc_id", "item_id", "variant", lies.alias("diagonal")).distinct()
-    aligned = hits.join(small(windows), "shingle").select("doc_id", "item_id", "variant", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_pos")
-    aligned = aligned.join(likely, ["doc_id", "item_id", "variant", "diagonal"], "left_semi")
+    likely = hits.join(small(prefixes), "shingle").where((begin >= 0) & (begin + run <= F.col("doc_size"))).select("doc_id", "doc_variant", "item_id", "variant", lies.alias("diagonal")).distinct()
+    aligned = hits.join(small(windows), "shingle").select("doc_id", "doc_variant", "item_id", "variant", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_pos")
+    aligned = aligned.join(likely, line, "left_semi")
     # shingles at consecutive positions of both texts: a run of `reach` of them is a window
-    along = Window.partitionBy("doc_id", "item_id", "variant", "diagonal").orderBy("item_pos")
-    runs = aligned.withColumn("island", F.col("item_pos") - F.row_number().over(along)).groupBy("doc_id", "item_id", "variant", "diagonal", "island").agg(F.count("*").alias("length"))
+    along = Window.partitionBy(*line).orderBy("item_pos")
+    runs = aligned.withColumn("island", F.col("item_pos") - F.dense_rank().over(along)).groupBy(*line, "island").agg((F.max("item_pos") - F.min("item_pos") + 1).alias("length"))
     return runs.where(F.col("length") >= reach).select("doc_id", "item_id").distinct()
