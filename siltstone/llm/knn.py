@@ -33,14 +33,16 @@ class Nearest:
         self.none = np.zeros(0, np.int64)
         self.row, self.col, self.cos = self.none, self.none, np.zeros(0)
 
-    def absorb(self, product: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], first: int) -> None:
-        """product: approximate cosines of all rows with the columns first, first + 1, ..."""
-        if np.isneginf(self.least).any() and product.shape[1] > self.k:
-            kth = np.partition(product, product.shape[1] - self.k, axis=1)[:, -self.k]
+    def absorb(self, product: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], first: int, down: bool = False) -> None:
+        """product: approximate cosines of all rows with the columns first, first + 1, ...; down: of the columns with the rows."""
+        if np.isneginf(self.least).any() and product.shape[not down] > self.k:
+            kth = np.partition(product, product.shape[not down] - self.k, axis=int(not down)).take(-self.k, axis=int(not down))
             self.least = np.maximum(self.least, kth - 2 * self.margin)
-        r, c = np.divmod(np.flatnonzero(product >= self.least[:, None] - self.margin), product.shape[1])
-        for at in range(0, len(r), 1 << 20):
-            rows, cols = r[at : at + (1 << 20)], c[at : at + (1 << 20)]
+        floor = self.least - np.float32(self.margin)
+        at = np.flatnonzero(product >= (floor[None, :] if down else floor[:, None]))
+        for some in range(0, len(at), 1 << 20):
+            i, j = np.divmod(at[some : some + (1 << 20)], product.shape[1])
+            rows, cols = (j, i) if down else (i, j)
             self.merge(rows, cols + first, exact(rows, cols))
 
     def merge(self, row: np.ndarray, col: np.ndarray, cos: np.ndarray) -> None:
@@ -87,7 +89,7 @@ def tile_pairs(k: int, least: float) -> Callable[[tuple, pd.DataFrame], pd.DataF
                     of_a_block = of_a if i != j else of_b[s.start // BLOCK_ROWS]
                     of_a_block.absorb(product, lambda r, c, s=s, t=t: np.einsum("ij,ij->i", a[s][r], b[t][c]), t.start)
                     if i != j or s != t:
-                        nearest_b.absorb(np.ascontiguousarray(product.T), lambda r, c, s=s, t=t: np.einsum("ij,ij->i", b[t][r], a[s][c]), s.start)
+                        nearest_b.absorb(product, lambda r, c, s=s, t=t: np.einsum("ij,ij->i", b[t][r], a[s][c]), s.start, down=True)
                 if i != j:
                     out.append((ids_a[of_a.row + s.start], ids_b[of_a.col], of_a.cos))
             for t, nearest_b in zip(blocks(len(b)), of_b):
