@@ -45,6 +45,38 @@ def import_aliases(chunks: DataFrame, keys: list[str], lang: str = "lang", text:
     return union.where((F.col("alias") != "") & (F.col("original") != "") & (F.col("alias") != F.col("original"))).distinct()
 
 
+#: How a variable gets its type, by language: the groups are (variable, type) or, for C++, (type, variable).
+BINDINGS = {
+    "typescript": [r"\b(?:const|let|var)\s+(\w+)\s*:\s*([A-Z]\w*)", r"\b(?:const|let|var)\s+(\w+)\s*=\s*new\s+([A-Za-z_]\w*)"],
+    "python": [r"(?m)^\s*(\w+)\s*=\s*([A-Z]\w*)\(", r"(?m)^\s*(\w+)\s*:\s*([A-Z]\w*)\b"],
+    "go": [r"\b(\w+)\s*:=\s*&?([A-Za-z_]\w*)\{", r"\bvar\s+(\w+)\s+\*?([A-Za-z_]\w*)"],
+    "cpp": [r"(?m)^\s*([A-Z]\w*)\s*[*&]?\s+[*&]?(\w+)\s*[;=({]"],
+}
+TYPED_LIKE = {"typescript": ["typescript", "tsx"], "python": ["python"], "go": ["go"], "cpp": ["cpp"]}
+
+
+def type_bindings(chunks: DataFrame, keys: list[str], lang: str = "lang", text: str = "text", seq: str = "start_line") -> DataFrame:
+    """keys, variable, type and seq of variables whose declaration names their type, as far as its look tells; only the languages of BINDINGS."""
+    out = None
+    for family, patterns in BINDINGS.items():
+        own = chunks.where(F.col(lang).isin(TYPED_LIKE[family]) & F.col(text).isNotNull())
+        for pattern in patterns:
+            found = own.select(*keys, F.col(seq).alias("_seq"), F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("a"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("b"))).alias("_pos", "_x"))
+            variable, kind = ("_x.b", "_x.a") if family == "cpp" else ("_x.a", "_x.b")
+            rows = found.select(*keys, F.col(variable).alias("variable"), F.col(kind).alias("type"), F.struct("_seq", "_pos").alias("seq"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def changed_symbol_context(changed: DataFrame, files: DataFrame, sites: DataFrame, scope: list[str], order: list[str], callers: int = 5, body: int = 1200) -> DataFrame:
+    """Each changed symbol (scope, file, name, kind, start_line, end_line) with its body, cut at `body` characters, and its first `callers` call sites as file:line."""
+    first = references(sites, [*scope, "callee"], order, callers)
+    listed = first.groupBy(*scope, F.col("callee").alias("name")).agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "file", "line").alias("at")))).alias("c"))
+    lines = F.slice(F.split("text", "\n", -1), F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1))
+    read = changed.join(files.select(*scope, "file", "text"), [*scope, "file"]).withColumn("body", F.substring(F.array_join(lines, "\n"), 1, body)).drop("text")
+    return read.join(listed, [*scope, "name"], "left").withColumn("callers", F.coalesce(F.transform("c", lambda x: x["at"]), F.array())).drop("c")
+
+
 def qualified_sites(sites: DataFrame, bindings: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     """Sites with a receiver and their qualifier: the bound variable's type, else the receiver, each under its imported name.
 

@@ -52,11 +52,11 @@ REFERENCES_SQL = with_views("k", more=SITES) + """SELECT repo, callee, file, lin
 
 
 def qualifiers_for(spark: SparkSession, folder: str) -> DataFrame:
-    """The receivers that a name is called on, under their imported names where renamed."""
+    """The types or receivers that a name is called on, under their imported names where renamed."""
     chunks = views.chunks(spark, folder)
     aliases = ci.import_aliases(chunks, ["repo", "file"])
     sites = _sites(spark, folder)
-    bindings = sites.where("1 = 0").select("repo", "file", F.col("callee").alias("variable"), F.col("callee").alias("type"), F.col("line").alias("seq"))
+    bindings = ci.type_bindings(chunks, ["repo", "file"])
     return ci.qualified_sites(sites, bindings, aliases, ["repo", "file"]).select("repo", "callee", "qualifier").distinct()
 
 
@@ -69,8 +69,30 @@ ALIASES = r"""al AS (SELECT DISTINCT repo, file, alias, original FROM (
   UNION ALL SELECT repo, file, unnest(regexp_extract_all(text, '(?m)^\s*([A-Za-z_]\w*)\s+"[^"\n]+/([A-Za-z_]\w*)"', 1)), unnest(regexp_extract_all(text, '(?m)^\s*([A-Za-z_]\w*)\s+"[^"\n]+/([A-Za-z_]\w*)"', 2)) FROM k WHERE lang = 'go')
   WHERE alias <> '' AND original <> '' AND alias <> original)"""
 
-QUALIFIERS_SQL = with_views("k", more=SITES + ", " + ALIASES + ", am AS (SELECT repo, file, alias, max(original) AS original FROM al GROUP BY ALL)") + """
-SELECT DISTINCT s.repo, s.callee, coalesce(a.original, s.receiver) AS qualifier FROM sites s LEFT JOIN am a ON a.repo = s.repo AND a.file = s.file AND a.alias = s.receiver WHERE s.receiver IS NOT NULL"""
+
+
+def _bindings_sql() -> str:
+    each = []
+    for family, patterns in ci.BINDINGS.items():
+        langs = ", ".join(f"'{x}'" for x in ci.TYPED_LIKE[family])
+        for p in patterns:
+            v, t = (2, 1) if family == "cpp" else (1, 2)
+            each.append(f"SELECT repo, file, start_line AS q, generate_subscripts(a, 1) AS n, unnest(a) AS variable, unnest(b) AS type FROM (SELECT repo, file, start_line, regexp_extract_all(text, '{p}', {v}) AS a, regexp_extract_all(text, '{p}', {t}) AS b FROM k WHERE lang IN ({langs}))")
+    return "bi AS (" + " UNION ALL ".join(each) + ")"
+
+
+def type_bindings(spark: SparkSession, folder: str) -> DataFrame:
+    """How often a variable of a file is declared with a type."""
+    return ci.type_bindings(views.chunks(spark, folder), ["repo", "file"]).groupBy("repo", "file", "variable", "type").agg(F.count("*").alias("n"))
+
+
+BINDINGS_SQL = with_views("k", more=_bindings_sql()) + "SELECT repo, file, variable, type, count(*) AS n FROM bi GROUP BY ALL"
+
+QUALIFIERS_SQL = with_views("k", more=SITES + ", " + ALIASES + ", " + _bindings_sql() + """, am AS (SELECT repo, file, alias, max(original) AS original FROM al GROUP BY ALL),
+lb AS (SELECT repo, file, variable, arg_max(type, (q, n - 1)) AS type FROM bi GROUP BY ALL),
+bt AS (SELECT lb.repo, lb.file, variable, coalesce(am.original, type) AS bound FROM lb LEFT JOIN am ON am.repo = lb.repo AND am.file = lb.file AND am.alias = lb.type)""") + """
+SELECT DISTINCT s.repo, s.callee, coalesce(bt.bound, a.original, s.receiver) AS qualifier FROM sites s LEFT JOIN bt ON bt.repo = s.repo AND bt.file = s.file AND bt.variable = s.receiver
+LEFT JOIN am a ON a.repo = s.repo AND a.file = s.file AND a.alias = s.receiver WHERE s.receiver IS NOT NULL"""
 
 
 def import_aliases(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +102,21 @@ def import_aliases(spark: SparkSession, folder: str) -> DataFrame:
 ALIASES_SQL = with_views("k", more=ALIASES) + "SELECT repo, file, alias, original FROM al"
 
 
+def changed_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Every symbol chunk, as changed, with the first five sites that call it in its repository."""
+    c = views.chunks(spark, folder)
+    changed = views.symbols(spark, folder).select("seq", "repo", "file", "name", "kind", F.lit(1).alias("start_line"), (F.col("end_line") - F.col("start_line") + 1).alias("end_line")).withColumn("at", F.concat_ws("#", "file", "seq"))
+    files = c.select("repo", F.concat_ws("#", "file", "chunk_seq").alias("at"), "text")
+    out = ci.changed_symbol_context(changed.drop("file").withColumnRenamed("at", "file"), files.withColumnRenamed("at", "file"), _sites(spark, folder), ["repo"], SITE_ORDER)
+    return out.select("seq", F.md5("body").alias("digest"), F.array_join("callers", ",").alias("callers"))
+
+
+CONTEXT_SQL = with_views("k", "s", more=SITES) + """,
+fc AS (SELECT repo, callee, string_agg(file || ':' || line::VARCHAR, ',' ORDER BY place) AS callers FROM (SELECT *, row_number() OVER (PARTITION BY repo, callee ORDER BY file, line, site, chunk_seq) AS place FROM sites) WHERE place <= 5 GROUP BY ALL)
+SELECT s.seq, md5(substring(array_to_string(string_split(k.text, chr(10))[1:greatest(0, s.end_line - s.start_line + 1)], chr(10)), 1, 1200)) AS digest, coalesce(fc.callers, '') AS callers
+FROM s JOIN k ON k.chunk_seq = s.seq LEFT JOIN fc ON fc.repo = s.repo AND fc.callee = s.name"""
+
+
 def resolve_qualified(spark: SparkSession, folder: str) -> DataFrame:
     """What every qualified call, and every symbol name qualified by each class of its file, can mean."""
     symbols = views.symbols(spark, folder)
@@ -266,12 +303,12 @@ LAYERS_SQL = with_views("f") + "SELECT category AS dimension, case_id, count(*)
 QUERIES = {
     f.__name__: f
     for f in (
-        call_sites, find_definition, find_references_capped, qualifiers_for, import_aliases, resolve_qualified, extract_symbols, vector_topk, memory_merge, feedback_upsert, repo_profile, exemplars,
+        call_sites, find_definition, find_references_capped, qualifiers_for, import_aliases, type_bindings, changed_context, resolve_qualified, extract_symbols, vector_topk, memory_merge, feedback_upsert, repo_profile, exemplars,
         keyword_recall, index_freshness, index_reuse, review_mode, record_reviewed, fix_commit_pick, graph_layers,
     )
 }
 ORACLES = {
-    "call_sites": CALLS_SQL, "find_definition": DEFINITION_SQL, "find_references_capped": REFERENCES_SQL, "qualifiers_for": QUALIFIERS_SQL, "import_aliases": ALIASES_SQL, "resolve_qualified": RESOLVE_SQL,
+    "call_sites": CALLS_SQL, "find_definition": DEFINITION_SQL, "find_references_capped": REFERENCES_SQL, "qualifiers_for": QUALIFIERS_SQL, "import_aliases": ALIASES_SQL, "type_bindings": BINDINGS_SQL, "changed_context": CONTEXT_SQL, "resolve_qualified": RESOLVE_SQL,
     "vector_topk": TOPK_SQL, "memory_merge": MERGE_SQL, "feedback_upsert": FEEDBACK_SQL, "repo_profile": PROFILE_SQL, "exemplars": EXEMPLARS_SQL, "keyword_recall": RECALL_SQL, "index_freshness": FRESH_SQL,
     "index_reuse": REUSE_SQL, "review_mode": MODE_SQL, "record_reviewed": RECORD_SQL, "fix_commit_pick": FIX_SQL, "graph_layers": LAYERS_SQL,
 }
