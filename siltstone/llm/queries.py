@@ -90,6 +90,16 @@ SELECT case_id, finding_id, arg_min(finding_seq, rn) AS best_seq, coalesce(arg_m
 FROM r GROUP BY case_id, finding_id HAVING count(DISTINCT finding_seq) > 1
 """
 
+P1_RECORDS_SQL = P1_SQL[: P1_SQL.index(", r AS (")] + r""", r AS (
+  SELECT case_id, id AS finding_id, finding_seq, lower(trim(severity)) AS severity, sev, confidence, conf, suggested_patch, has_patch, evidence, ev,
+         row_number() OVER (PARTITION BY case_id, id ORDER BY sev, conf DESC, has_patch DESC, ev DESC, created_at DESC NULLS LAST, finding_seq) AS rn
+  FROM f
+)
+SELECT case_id, finding_id, arg_min(finding_seq, rn) AS best_seq, arg_min(severity, rn) FILTER (WHERE sev < 9) AS severity, arg_min(confidence, rn) FILTER (WHERE conf >= 0) AS confidence,
+       arg_min(suggested_patch, rn) FILTER (WHERE has_patch) AS suggested_patch, (arg_min(ev, rn) FILTER (WHERE ev > 0))::BIGINT AS n_evidence
+FROM r GROUP BY case_id, finding_id HAVING count(DISTINCT finding_seq) > 1
+"""
+
 P3_SQL = r"""
 WITH f AS (
   SELECT DISTINCT finding_seq, regexp_replace(regexp_replace(replace(regexp_replace(file, '^\s+|\s+$', '', 'g'), '\', '/'), '/+', '/', 'g'), '^\./', '') AS path,
@@ -105,6 +115,13 @@ pairs AS (
 SELECT seq_a, seq_b FROM pairs WHERE shared >= 0.6 * (na + nb - shared)
 """
 
+P3_CLASSES_SQL = P3_SQL[: P3_SQL.index("s AS (")] + r"""c AS (SELECT path, w, min(finding_seq) AS class_id FROM f WHERE len(w) >= 20 GROUP BY ALL),
+x AS (SELECT class_id, path, len(runs) AS n, unnest(runs) AS run FROM (SELECT class_id, path, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS runs FROM c)),
+l AS (SELECT a.class_id AS class_id, b.class_id AS other, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.path = b.path AND a.run = b.run AND a.class_id <> b.class_id GROUP BY ALL),
+d AS (SELECT class_id, count(*) AS n FROM l WHERE shared >= 0.6 * (na + nb - shared) GROUP BY ALL)
+SELECT f.finding_seq, c.class_id, coalesce(d.n, 0) AS n_links FROM f JOIN c ON f.path = c.path AND f.w = c.w LEFT JOIN d ON d.class_id = c.class_id
+"""
+
 P6_SQL = """
 WITH u AS (
   SELECT id, any_value(vector) AS v FROM vectors
@@ -115,6 +132,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) AS
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE rn <= 5 AND cos >= 0.85
 """
 
+P6_TOPK_SQL = P6_SQL[: P6_SQL.index("SELECT DISTINCT least")] + "SELECT id, other, round(cos, 6) AS cos FROM r WHERE rn <= 5"
+
 P8_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
@@ -123,4 +142,6 @@ iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lam
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)
 """
 
-ORACLES = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL}
+ORACLES = {
+    "p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p3_found": P3_SQL, "p3_classes": P3_CLASSES_SQL, "p6_found": P6_SQL, "p6_topk": P6_TOPK_SQL, "p8_found": P8_SQL,
+}
