@@ -16,7 +16,7 @@ SITE_ORDER = ["file", "line", "site", "chunk_seq"]
 
 
 def _sites(spark: SparkSession, folder: str) -> DataFrame:
-    return ci.call_sites(views.chunks(spark, folder), ["chunk_seq", "repo", "file"])
+    return ci.call_sites(views.raw_chunks(spark, folder), ["chunk_seq", "repo", "file"]).distinct()
 
 
 WORDS = ", ".join(f"'{w}'" for w in ci.KEYWORDS + ci.MORE_WORDS)
@@ -53,7 +53,7 @@ REFERENCES_SQL = with_views("k", more=SITES) + """SELECT repo, callee, file, lin
 
 def qualifiers_for(spark: SparkSession, folder: str) -> DataFrame:
     """The types or receivers that a name is called on, under their imported names where renamed."""
-    chunks = views.chunks(spark, folder)
+    chunks = views.raw_chunks(spark, folder)
     aliases = ci.import_aliases(chunks, ["repo", "file"])
     sites = _sites(spark, folder)
     bindings = ci.type_bindings(chunks, ["repo", "file"])
@@ -83,7 +83,8 @@ def _bindings_sql() -> str:
 
 def type_bindings(spark: SparkSession, folder: str) -> DataFrame:
     """How often a variable of a file is declared with a type."""
-    return ci.type_bindings(views.chunks(spark, folder), ["repo", "file"]).groupBy("repo", "file", "variable", "type").agg(F.count("*").alias("n"))
+    once = ci.type_bindings(views.raw_chunks(spark, folder), ["chunk_seq", "repo", "file"]).distinct()
+    return once.groupBy("repo", "file", "variable", "type").agg(F.count("*").alias("n"))
 
 
 BINDINGS_SQL = with_views("k", more=_bindings_sql()) + "SELECT repo, file, variable, type, count(*) AS n FROM bi GROUP BY ALL"
@@ -96,7 +97,7 @@ LEFT JOIN am a ON a.repo = s.repo AND a.file = s.file AND a.alias = s.receiver W
 
 
 def import_aliases(spark: SparkSession, folder: str) -> DataFrame:
-    return ci.import_aliases(views.chunks(spark, folder), ["repo", "file"])
+    return ci.import_aliases(views.raw_chunks(spark, folder), ["repo", "file"])
 
 
 ALIASES_SQL = with_views("k", more=ALIASES) + "SELECT repo, file, alias, original FROM al"
@@ -136,8 +137,8 @@ SELECT repo, qualifier, name, seq, tier FROM (SELECT *, min(tier) OVER (PARTITIO
 
 def extract_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Types and functions of C-like chunks by their heads and braces."""
-    c = views.chunks(spark, folder).where(F.col("file").rlike(r"\.(c|cc|cpp|h|hpp)$"))
-    return ci.extracted_symbols(c.select("chunk_seq", "text"), "chunk_seq")
+    c = views.raw_chunks(spark, folder).where(F.col("file").rlike(r"\.(c|cc|cpp|h|hpp)$"))
+    return ci.extracted_symbols(c.select("chunk_seq", "text"), "chunk_seq").distinct()
 
 
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,8 +218,8 @@ SELECT query_id, id, score, place FROM r WHERE place <= 3"""
 
 def index_freshness(spark: SparkSession, folder: str) -> DataFrame:
     """Files against an index that was built before methods were chunked."""
-    c = views.chunks(spark, folder)
-    digest = F.concat(F.count("*").cast("string"), F.lit(":"), F.sum(F.length("text")).cast("string")).alias("hash")
+    c = views.chunk_lengths(spark, folder)
+    digest = F.concat(F.count("*").cast("string"), F.lit(":"), F.sum("n").cast("string")).alias("hash")
     return st.freshness(c.groupBy("repo", "file").agg(digest), c.where("kind <> 'method'").groupBy("repo", "file").agg(digest), ["repo", "file"])
 
 
@@ -229,8 +230,8 @@ FRESH_SQL = with_views("k", more=FRESH) + "SELECT repo, file, state FROM fr"
 
 def index_reuse(spark: SparkSession, folder: str) -> DataFrame:
     """The chunks of the next index against the same former one."""
-    c = views.chunks(spark, folder)
-    digest = F.concat(F.count("*").cast("string"), F.lit(":"), F.sum(F.length("text")).cast("string")).alias("hash")
+    c = views.chunk_lengths(spark, folder)
+    digest = F.concat(F.count("*").cast("string"), F.lit(":"), F.sum("n").cast("string")).alias("hash")
     old = c.where("kind <> 'method'")
     keys = ["repo", "file"]
     vectors = table(spark, folder, "vectors").where("vector IS NOT NULL")

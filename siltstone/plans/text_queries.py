@@ -77,6 +77,7 @@ SELECT doc_id, x.file AS file, TRY_CAST(x.line AS INT) AS line, TRY_CAST(x.col A
 
 
 def _raw_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings as delivered, each once; the columns that a query doesn't read don't move."""
     return table(spark, folder, "findings").dropDuplicates(["finding_seq"])
 
 
@@ -153,7 +154,7 @@ PATTERN = r"lock_guard|mu\.Lock\(\)|assert\("
 
 
 def line_grep(spark: SparkSession, folder: str) -> DataFrame:
-    return tt.grep(views.chunks(spark, folder), ["chunk_seq"], PATTERN)
+    return tt.grep(views.raw_chunks(spark, folder), ["chunk_seq"], PATTERN).distinct()
 
 
 GREP_SQL = with_views("k") + rf"""SELECT chunk_seq, line_no, line FROM (SELECT chunk_seq, generate_subscripts(a, 1) AS line_no, unnest(a) AS line FROM (SELECT chunk_seq, string_split(text, chr(10)) AS a FROM k WHERE text IS NOT NULL)) WHERE regexp_matches(line, '{PATTERN}')"""

@@ -48,8 +48,19 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Code chunks, each once."""
-    return table(spark, folder, "code_chunks").dropDuplicates(["chunk_seq"])
+    """Code chunks, each once. The whole texts move to their chunk_seq: queries whose rows tell repeats apart by themselves read raw_chunks."""
+    return raw_chunks(spark, folder).dropDuplicates(["chunk_seq"])
+
+
+def raw_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Code chunks as delivered, some twice."""
+    return table(spark, folder, "code_chunks")
+
+
+def chunk_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Code chunks, each once, with the length of their text in its place."""
+    c = raw_chunks(spark, folder).select("chunk_seq", "repo", "file", "id", "kind", F.length("text").alias("n"))
+    return c.dropDuplicates(["chunk_seq"])
 
 
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
