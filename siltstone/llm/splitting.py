@@ -56,6 +56,15 @@ MEMBER = {
     "js": rf"^(?!(?:if|for|while|switch|return|catch|do|else|function|new|throw|await|super)\b)(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract|declare)\s+)*\*?\s*[#\w$]+\s*(?:<[^>]*>)?\((?!.*;\s*$)|^(?:(?:public|private|protected|static|readonly|override)\s+)*[#\w$]+\s*(?::[^=]+)?=\s*{ARROW}",
     "c": r"^(?!(?:if|for|while|switch|return|else|do|catch|try|throw|new|delete|case|using|typedef|assert|static_assert|friend)\b)[\w:<>,*&\[\]\s~.?]*?(?:\boperator\s*\S+|~?\w+)\s*\((?!.*;\s*$)",
 }
+#: Lines that open a block whose content doesn't count as nested, and how many such blocks within each other are told.
+CONTAINER = {
+    "py": r"(?!)",
+    "go": r"(?!)",
+    "rust": r"^(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+\s*\{",
+    "js": r"^(?:export\s+)?(?:declare\s+)?(?:namespace|module)\s+[\w.\x02]+\s*\{",
+    "c": r"^(?:inline\s+)?namespace\b[^;=]*\{|^extern\s+\x02+\s*\{",
+}
+CONTAINERS = 4
 #: Lines that belong to the declaration behind them.
 ATTACHED = {"py": r"^@\w", "go": r"(?!)", "rust": r"^#!?\[", "js": r"^@\w[^{]*$", "c": r"^@(?!interface)\w[^{]*$|^template\s*<[^{;(]*$|^\[\[.*\]\]\s*$"}
 
@@ -139,13 +148,20 @@ def declaration_lines(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     deep = deep.withColumn("own_level", F.when(is_py, F.col("indent")).otherwise(F.col("depth")))
     shallowest = F.when(is_py, F.when(F.col("is_code"), F.col("indent"))).otherwise(F.least(F.col("depth") - F.col("closing"), F.col("depth")))
     deep = deep.withColumn("base", F.coalesce(F.min(shallowest).over(whole), F.lit(0)))
-    deep = deep.withColumn("level", F.col("own_level") - F.col("base"))
+    is_container = by_family(F.col("family"), {f: F.col("code").rlike(p) for f, p in CONTAINER.items()}, F.lit(False))
+    deep = deep.withColumn("deepness", F.col("own_level") - F.col("base")).withColumn("container", is_container)
+    # a line lies in so many containers as, from the outermost level inwards, the block open there was opened by one
+    opened = [F.last(F.when((F.col("deepness") == d) & (F.col("turn") > 0), F.col("container")), True).over(before) & (F.col("deepness") > d) for d in range(CONTAINERS)]
+    within = F.lit(0)
+    for o in reversed(opened):
+        within = F.when(F.coalesce(o, F.lit(False)), within + 1).otherwise(0)
+    deep = deep.withColumn("level", F.col("deepness") - F.when(is_py, 0).otherwise(within))
     is_class = by_family(F.col("family"), {f: F.col("code").rlike(p) for f, p in CLASS.items()}, F.lit(False))
     is_function = by_family(F.col("family"), {f: F.col("code").rlike(p) for f, p in FUNCTION.items()}, F.lit(False))
     is_member = by_family(F.col("family"), {f: F.col("code").rlike(p) for f, p in MEMBER.items()}, is_function)
     deep = deep.withColumn("is_class", F.col("is_code") & is_class).withColumn("is_function", F.col("is_code") & is_function).withColumn("is_member", F.col("is_code") & (is_member | is_class))
     # a chunk is one class if that is its only line of code on the outermost level
-    outer = F.col("is_code") & (F.col("level") == 0) & ~F.col("attached") & ~F.col("code").rlike(r"^[{})\];,\s]*$")
+    outer = F.col("is_code") & (F.col("level") == 0) & ~F.col("attached") & ~F.col("container") & ~F.col("code").rlike(r"^[{})\];,\s]*$")
     deep = deep.withColumn("outer", F.sum(outer.cast("int")).over(whole)).withColumn("outer_class", F.sum((outer & F.col("is_class")).cast("int")).over(whole))
     deep = deep.withColumn("one_class", (F.col("outer") == 1) & (F.col("outer_class") == 1))
     inner = F.min(F.when(F.col("is_code") & (F.col("level") > 0), F.col("level"))).over(whole)

@@ -96,6 +96,12 @@ def test_scripts_and_go(spark):
     assert cuts(spark, "a.go", go) == [3, 8, 12]
 
 
+def test_namespaces_and_modules_do_not_nest(spark):
+    text = "#include <x>\nnamespace a {\nnamespace b {\nint f() {\n  for (;;) {\n  }\n}\n// doc\nclass C {\n  void m() {\n  }\n};\n}\n}\nint g() {\n}\n"
+    assert cuts(spark, "a.cc", text) == [4, 8, 15]
+    assert cuts(spark, "a.rs", "use x;\nmod tests {\n    #[test]\n    fn a() {\n        fn inner() {}\n    }\n}\nfn b() {}\n") == [3, 8]
+
+
 def test_window_that_begins_inside_a_function(spark):
     text = "    x = 1;\n  }\n  return x;\n}\nint g(int a) {\n  return a;\n}\n"
     assert cuts(spark, "a.c", text) == [5]
