@@ -119,14 +119,13 @@ def levels_of(rows: DataFrame, difficulties: DataFrame, log_z: np.ndarray) -> Da
     """doc_id and place: where on the grid each document's likelihood is greatest, given the difficulties."""
     known = exploded(rows, "doc_id").join(small(difficulties.select("item", "b")), "item")
     weight = F.when(is_sentence(F.col("item")), F.lit(SENTENCE_WEIGHT)).otherwise(F.lit(1.0)) * F.col("n")
+    log_z = log_z.tolist()
     sums = known.groupBy("doc_id").agg(
         F.sum(weight * F.col("b")).alias("s"), F.sum(F.when(is_sentence(F.col("item")), 0.0).otherwise(weight)).alias("n0"), F.sum(F.when(is_sentence(F.col("item")), weight).otherwise(0.0)).alias("n1")
     )
-    likelihood = [
-        F.struct((F.col("s") * float(x - MIDDLE) - F.col("n0") * float(log_z[0, g]) - F.col("n1") * float(log_z[1, g])).alias("l"), F.lit(g).alias("place"))
-        for g, x in enumerate(GRID)
-    ]
-    return sums.select("doc_id", F.array_max(F.array(*likelihood))["place"].alias("place"))
+    # one expression as text: thousands of calls into the JVM would take longer than the job
+    each = [f"struct(s * {x - MIDDLE!r}D - n0 * {log_z[0][g]!r}D - n1 * {log_z[1][g]!r}D AS l, {g} AS place)" for g, x in enumerate(GRID.tolist())]
+    return sums.select("doc_id", F.expr(f"array_max(array({', '.join(each)})).place").alias("place"))
 
 
 def difficulties_of(rows: DataFrame, levels: DataFrame, samples: Samples, sample_tallies: DataFrame, log_z: np.ndarray) -> tuple[DataFrame, np.ndarray]:
@@ -157,7 +156,7 @@ def difficulties_of(rows: DataFrame, levels: DataFrame, samples: Samples, sample
                 yield frame.assign(a=a, b=b)
 
         fitted = staged(fitted.mapInPandas(improve, fitted.schema), "difficulties")
-        sums = [F.sum(F.exp(F.col("a") + F.col("b") * float(x - MIDDLE))).alias(f"z{g}") for g, x in enumerate(GRID)]
+        sums = [F.expr(f"sum(exp(a + b * {x - MIDDLE!r}D))").alias(f"z{g}") for g, x in enumerate(GRID.tolist())]
         for r in fitted.groupBy(is_sentence(F.col("item")).cast("int").alias("block")).agg(*sums).collect():
             log_z[r["block"]] = np.log([r[f"z{g}"] for g in range(len(GRID))])
     return fitted.select("item", "a", "b"), log_z
