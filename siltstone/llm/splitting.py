@@ -194,6 +194,11 @@ def cut_lines(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 BOUNDARY = "^(?:(?s:.){0,%d}\x01|(?s:.){0,%d}\n[ \t\r]*\n|(?s:.){0,%d}\n|(?s:.){1,%d})"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once: within a lambda, Spark doesn't share equal expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP_LINES) -> DataFrame:
     """Oversized chunks cut into pieces of at most limit characters: chunk_seq, piece_no (from 0), file, symbol, first_line, last_line, text.
 
@@ -210,23 +215,26 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP_LINES)
     rows = rows.withColumn("shadow", shadow).withColumn("size", F.length("text"))
     pattern = BOUNDARY % (limit - 1, limit - 2, limit - 1, limit)
 
+    def tail_of(piece: Column) -> Column:
+        """The length of the longest run of at most `overlap` whole lines at a piece's end that leaves half the limit."""
+        ends = F.endswith(piece, F.lit("\n"))
+        lines = [F.length(F.when(ends, F.substring_index(piece, "\n", -k - 1)).otherwise(F.substring_index(piece, "\n", -k))) for k in range(overlap, 0, -1)]
+        return F.coalesce(F.get(F.filter(F.array(*lines), lambda n: n <= limit // 2), F.lit(0)), F.lit(0)) if lines else F.lit(0)
+
+    def after(s: Column, body: Column) -> Column:
+        tail = let(F.substring(F.col("text"), s["at"] - s["tail"] + 1, s["tail"] + body), tail_of)
+        made = F.array_append(s["made"], F.struct(s["at"].alias("at"), s["tail"].alias("tail"), body.alias("body")))
+        return F.struct((s["at"] + body).alias("at"), tail.alias("tail"), made.alias("made"))
+
     def step(s: Column, _: Column) -> Column:
         room = F.lit(limit) - s["tail"]
         window = F.substring(F.col("shadow"), s["at"] + 1, room)
         body = F.when(F.col("size") - s["at"] <= room, F.col("size") - s["at"]).otherwise(F.length(F.regexp_extract(window, pattern, 0)))
-        piece = F.substring(F.col("text"), s["at"] - s["tail"] + 1, s["tail"] + body)
-        ends = F.endswith(piece, F.lit("\n"))
-        # the longest run of at most `overlap` whole lines at the end that leaves half the limit
-        tail = F.coalesce(
-            *[F.when(F.length(t) <= limit // 2, F.length(t)) for k in range(overlap, 0, -1) for t in [F.when(ends, F.substring_index(piece, "\n", -k - 1)).otherwise(F.substring_index(piece, "\n", -k))]],
-            F.lit(0),
-        )
-        after = F.struct((s["at"] + body).alias("at"), tail.alias("tail"), F.array_append(s["made"], F.struct(s["at"].alias("at"), s["tail"].alias("tail"), body.alias("body"))).alias("made"))
-        return F.when(s["at"] >= F.col("size"), s).otherwise(after)
+        return F.when(s["at"] >= F.col("size"), s).otherwise(let(body, lambda b: after(s, b)))
 
     empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("tail"), F.array().cast("array<struct<at:int,tail:int,body:int>>").alias("made"))
-    # a step ends at a declaration or goes on for at least a line; texts without long lines need no more steps than this
-    most = F.size("cuts") + F.size(parts) + F.ceil(F.col("size") / (limit // 2)).cast("int") + 1
+    # the next boundary of the kind that a step ends at, or of a stronger one, lies beyond its window, so two steps take more than a window of half the limit
+    most = F.ceil(F.col("size") * 4 / limit).cast("int") + 2
     rows = rows.withColumn("made", F.aggregate(F.sequence(F.lit(1), most), empty, step, lambda s: s["made"]))
     out = rows.select("chunk_seq", "file", "symbol", "start_line", "text", F.posexplode("made").alias("piece_no", "p"))
     feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
