@@ -16,7 +16,8 @@ SITE_ORDER = ["file", "line", "site", "chunk_seq"]
 
 
 def _sites(spark: SparkSession, folder: str) -> DataFrame:
-    return ci.call_sites(views.raw_chunks(spark, folder), ["chunk_seq", "repo", "file"]).distinct()
+    # the sites of a text are about as large as the text, so repeats go before they are extracted
+    return ci.call_sites(views.chunks(spark, folder).select("chunk_seq", "repo", "file", "start_line", "text"), ["chunk_seq", "repo", "file"])
 
 
 WORDS = ", ".join(f"'{w}'" for w in ci.KEYWORDS + ci.MORE_WORDS)

@@ -14,6 +14,7 @@ from siltstone.sources.tables import table
 
 GLOBS = ["src/**", "lib/*/*.go", "**.java"]
 REVIEW = ["case_id", "ablation"]
+HALF = 1e-12
 
 
 def dedupe_near_line(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,14 +138,15 @@ metrics AS (SELECT r.case_id, r.ablation, coalesce(h.tp, 0) AS true_positives, c
 
 
 RATES_SQL = """count(*) AS cases, sum(true_positives)::BIGINT AS true_positives, sum(false_positives)::BIGINT AS false_positives, sum(false_negatives)::BIGINT AS false_negatives, sum(localized)::BIGINT AS localized"""
-DERIVED_SQL = """SELECT *, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1_,
-round(false_positives / cases, 6) AS fpc, round(CASE WHEN true_positives = 0 THEN 0 ELSE localized / true_positives END, 6) AS loc FROM (
+DERIVED_SQL = """SELECT *, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END + 1e-12, 6) AS f1_,
+round(false_positives / cases + 1e-12, 6) AS fpc, round(CASE WHEN true_positives = 0 THEN 0 ELSE localized / true_positives END + 1e-12, 6) AS loc FROM (
 SELECT *, CASE WHEN true_positives + false_negatives = 0 THEN 1.0::DOUBLE ELSE true_positives / (true_positives + false_negatives) END AS recall,
 CASE WHEN true_positives + false_positives = 0 THEN 1.0::DOUBLE ELSE true_positives / (true_positives + false_positives) END AS precision FROM {of})"""
 
 
 def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    """To 6 digits; what is added settles halves, which sums in another order may miss by their last bit."""
+    return df.withColumns({n: F.round(F.col(n) + HALF, 6) for n in names})
 
 
 RATES = ["recall", "precision", "f1", "false_positives_per_case", "localization_accuracy"]
@@ -155,7 +157,7 @@ def metrics_micro(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rates_sql(keys: str, source: str) -> str:
-    return f"""SELECT {keys}, cases, true_positives, false_positives, false_negatives, localized, round(recall, 6) AS recall, round(precision, 6) AS precision, f1_ AS f1, fpc AS false_positives_per_case, loc AS localization_accuracy
+    return f"""SELECT {keys}, cases, true_positives, false_positives, false_negatives, localized, round(recall + 1e-12, 6) AS recall, round(precision + 1e-12, 6) AS precision, f1_ AS f1, fpc AS false_positives_per_case, loc AS localization_accuracy
 FROM ({DERIVED_SQL.format(of=f"(SELECT {keys}, {RATES_SQL} FROM {source} GROUP BY {keys})")})"""
 
 
@@ -197,7 +199,7 @@ def t_sql(df: str) -> str:
 
 
 def described_sql(keys: str, source: str) -> str:
-    return f"""SELECT {keys}, n, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max, round(std / sqrt(n), 6) AS sem, round(({t_sql('(n - 1)')}) * std / sqrt(n), 6) AS ci95
+    return f"""SELECT {keys}, n, round(mean + 1e-12, 6) AS mean, round(std + 1e-12, 6) AS std, round(lo + 1e-12, 6) AS min, round(hi + 1e-12, 6) AS max, round(std / sqrt(n) + 1e-12, 6) AS sem, round(({t_sql('(n - 1)')}) * std / sqrt(n) + 1e-12, 6) AS ci95
 FROM (SELECT {keys}, count(*) AS n, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS std, min(v) AS lo, max(v) AS hi FROM {source} GROUP BY {keys})"""
 
 
@@ -244,7 +246,7 @@ def judge_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 JUDGE_SQL = with_views("f") + """, j AS (SELECT id, arg_max(confidence >= 0.5, seq) AS valid, arg_max(confidence, seq) AS score FROM f WHERE ablation = 'B-llm-only' GROUP BY id)
-SELECT case_id, ablation, count(*) AS n, round(avg(CASE WHEN coalesce(valid, true) THEN 1.0 ELSE 0.0 END), 6) AS valid_rate, round(avg(coalesce(score, 0.5)), 6) AS mean_score FROM f LEFT JOIN j USING (id) GROUP BY ALL"""
+SELECT case_id, ablation, count(*) AS n, round(avg(CASE WHEN coalesce(valid, true) THEN 1.0 ELSE 0.0 END) + 1e-12, 6) AS valid_rate, round(avg(coalesce(score, 0.5)) + 1e-12, 6) AS mean_score FROM f LEFT JOIN j USING (id) GROUP BY ALL"""
 
 
 def verifier_apply(spark: SparkSession, folder: str) -> DataFrame:
