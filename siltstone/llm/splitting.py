@@ -113,7 +113,7 @@ def oversized(chunks: DataFrame, limit: int) -> DataFrame:
 
 
 def declaration_lines(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """chunk_seq and at: the lines (counted from 0 within the chunk) at which declarations of oversized chunks begin.
+    """chunk_seq, start_line and at: the lines (counted from 0 within the chunk) at which declarations of oversized chunks begin.
 
     Comments and strings are blotted out lexeme by lexeme with a regex of the language's family (by the file's extension, for lang is
     often wrong). What is left decides by line: how deep it stands (braces, or indentation in Python), relative to the shallowest
@@ -122,13 +122,14 @@ def declaration_lines(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     members count instead. A chunk is one row and its lines stay in one task; chunks are spread by chunk_seq.
     """
     big = oversized(chunks, limit).withColumn("family", family_of(F.col("file"), F.col("lang")))
-    lines = big.select("chunk_seq", "family", F.posexplode(F.split(masked(F.col("text"), F.col("family")), "\n", -1)).alias("at", "line"))
+    lines = big.select("chunk_seq", "start_line", "family", F.posexplode(F.split(masked(F.col("text"), F.col("family")), "\n", -1)).alias("at", "line"))
     code = F.regexp_replace("line", r"^\s+|\s+$", "")
     is_py = F.col("family") == "py"
     count = lambda c: F.length("code") - F.length(F.replace(F.col("code"), F.lit(c), F.lit("")))
     seen = lines.withColumn("code", code)
     seen = seen.select(
         "chunk_seq",
+        "start_line",
         "family",
         "at",
         "code",
@@ -177,7 +178,7 @@ def declaration_lines(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     starts = deep.withColumn("nearest", deeper).where("begins").withColumn(
         "first", F.when(is_py & (F.col("nearest.at") == F.col("at") - 1) & (F.col("nearest.tie") > F.col("indent")), F.col("at")).otherwise(F.col("last_apart") + 1)
     )
-    return starts.where(F.col("first") > 0).select("chunk_seq", F.col("first").alias("at")).distinct()
+    return starts.where(F.col("first") > 0).select("chunk_seq", "start_line", F.col("first").alias("at")).distinct()
 
 
 def cut_lines(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -185,9 +186,8 @@ def cut_lines(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     Null texts and chunk_seqs give nothing, as do chunks without a start_line; a chunk delivered twice counts once.
     """
-    starts = declaration_lines(chunks, limit)
-    first = oversized(chunks, limit).where(F.col("start_line").isNotNull()).select("chunk_seq", "start_line")
-    return starts.join(first, "chunk_seq").select("chunk_seq", (F.col("start_line") + F.col("at")).cast("int").alias("cut_line"))
+    starts = declaration_lines(chunks, limit).where(F.col("start_line").isNotNull())
+    return starts.select("chunk_seq", (F.col("start_line") + F.col("at")).cast("int").alias("cut_line"))
 
 
 #: A window of a shadow text in which a line feed before a declaration is \x01: up to the last declaration, blank line or line end, or all.
