@@ -138,3 +138,8 @@ def cosine(a: Column, b: Column) -> Column:
 def keywords(query: Column) -> Column:
     """The words of more than three letters of a lower-cased query, repeats kept."""
     return F.filter(F.split(F.lower(query), r"\W+"), lambda t: F.length(t) > 3)
+
+
+def is_placeholder(value: Column) -> Column:
+    """True for a setting that isn't filled in: empty, or one that says so."""
+    return F.trim(F.coalesce(value, F.lit(""))).rlike("(?i)placeholder|fill_me_in|^$")

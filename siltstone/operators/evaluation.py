@@ -11,6 +11,15 @@ TOLERANCE = 3
 #: Tolerated drop of a rate, and rise of false positives a case.
 METRIC_DROP, FP_RISE = 0.05, 1.0
 
+#: Configurations, each with one part more than the one before: index, static analysis, verifier, memory.
+CONFIGURATIONS = {
+    "B-llm-only": [],
+    "+rag": ["index"],
+    "+static": ["index", "static"],
+    "+verifier": ["index", "static", "verifier"],
+    "full": ["index", "static", "verifier", "memory"],
+}
+
 COUNTS = ["true_positives", "false_positives", "false_negatives", "localized"]
 
 

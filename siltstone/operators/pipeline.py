@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.review import SOURCE_FILE, TEST_FOLDER, infer_category, infer_severity, reviewable, slug
+from siltstone.functions.review import SOURCE_FILE, TEST_FOLDER, finding_id, infer_category, infer_severity, reviewable, slug
+from siltstone.functions.text import severity_rank
 from siltstone.operators import evaluation as ev
 from siltstone.operators import findings as fi
 from siltstone.operators import text_tables as tt
 from siltstone.operators.code_index import near_changes, overlapping_symbols
+from siltstone.operators.runtime import DIMENSIONS, ChatModel, answered
+from siltstone.session import staged
 
 
 def review_context(patches: DataFrame, key: str, symbols: DataFrame, signals: DataFrame) -> dict[str, DataFrame]:
@@ -28,6 +31,29 @@ def review(raw: DataFrame, verdicts: DataFrame | None, suppressed: DataFrame | N
     return fi.near_line_dedupe(fi.admitted(checked, suppressed, globs, least), [*keys, "file"])
 
 
+def asked(prompts: DataFrame, reviewer: ChatModel, verifier: ChatModel | None, keys: list[str], least: float = fi.MIN_CONFIDENCE, suppressed: DataFrame | None = None, globs: list[str] | None = None) -> DataFrame:
+    """A whole review by models of each prompt (keys, prompt): every dimension is asked, the answers' findings are verified in one listing per review,
+    and what is left is reported as by review().
+
+    Calls run in the tasks that hold the prompts. An answer that can't be read gives no finding; a verifier that fails drops none. Answers are
+    staged, so that no later step or lost executor asks again.
+    """
+    dims = F.explode(F.array(*[F.lit(d) for d in DIMENSIONS]))
+    wanted = prompts.select(*keys, "prompt", dims.alias("category")).withColumn("prompt", F.concat(F.lit("Dimension: "), "category", F.lit("\n"), "prompt"))
+    answers = staged(answered(wanted, reviewer, [*keys, "category"]), "answers")
+    found = tt.answered_findings(answers, [*keys, "category"])
+    own = [F.xxhash64(*keys, "category", "item").alias("seq"), finding_id(F.col("file"), F.col("line"), F.col("category"), F.col("title")).alias("id"), severity_rank(F.col("severity")).alias("rank")]
+    raw = found.select("*", *own)
+    if verifier is None:
+        return review(raw, None, suppressed, globs or [], keys, least)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1
+    said = F.concat(F.lit("#"), F.col("place").cast("string"), F.lit(" ["), "category", F.lit("] "), "file", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "title", F.lit("\n"), "rationale")
+    listed = raw.withColumn("place", place).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", said.alias("s")))), lambda x: x["s"]), "\n").alias("listing"))
+    checks = prompts.join(listed, keys).select(*keys, F.concat("prompt", F.lit("\n\n## Candidates\n"), "listing").alias("prompt"))
+    verdicts = tt.answered_verdicts(staged(answered(checks, verifier, keys), "verdicts"), keys)
+    return review(raw, verdicts, suppressed, globs or [], keys, least)
+
+
 def evaluated(findings: DataFrame, labels: DataFrame, runs: DataFrame, by_category: bool = True, collapse: bool = True) -> dict[str, DataFrame]:
     """Metrics of each run (case_id, ablation) and rates of each configuration."""
     metrics = ev.case_metrics(findings, labels, runs, by_category, collapse)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 RETRY_STATUS = [429, 500, 502, 503, 504]
 FIRST_WAIT, LONGEST_WAIT, JITTER = 1.0, 16.0, 0.3
 EMBED_BATCH, TOOL_ROUNDS = 64, 8
+#: Statuses and words by which an error says that a model takes no schema.
+SCHEMA_STATUS, SCHEMA_WORDS = ["400", "404", "422", "501"], ["json_schema", "response_format", "schema", "not supported", "unsupported", "invalid type"]
 #: The dimensions of a review; one is never left out.
 DIMENSIONS = ["correctness", "concurrency", "memory", "security", "performance", "maintainability"]
 ALWAYS = "correctness"
@@ -160,6 +163,29 @@ class Cached:
         return self.known[key]
 
 
+def rejects_schema(error: Exception) -> bool:
+    said = str(error).lower()
+    return bool(set(re.findall(r"\d+", said)) & set(SCHEMA_STATUS)) or any(w in said for w in SCHEMA_WORDS)
+
+
+@dataclass
+class Structured:
+    """A model asked for JSON by a schema; once it has refused one, it is asked for any JSON object instead."""
+
+    model: ChatModel
+    by_schema: bool = True
+
+    def chat(self, request: dict, schema: dict | None = None) -> str:
+        if self.by_schema and schema is not None:
+            try:
+                return self.model.chat({**request, "schema": schema})
+            except Exception as e:
+                if not rejects_schema(e):
+                    raise
+                self.by_schema = False
+        return self.model.chat({**request, "json": True})
+
+
 def embed_all(model: EmbedModel, texts: list[str], dim: int) -> list[list[float]]:
     """Vectors of the texts; a batch that fails is halved until the failing text is alone, which gets zeros. Blank texts are sent as "(empty)"."""
     if not texts:

@@ -112,3 +112,10 @@ def fix_commits(changes: DataFrame, most_files: int = 2, limit: int = 10) -> Dat
 def usage(trace: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of tokens, calls and milliseconds of a trace."""
     return trace.groupBy(*keys).agg(F.count("*").alias("steps"), *[F.sum(c).alias(c) for c in ("tool_calls", "prompt_tokens", "completion_tokens", "ms")])
+
+
+def chosen_revisions(changes: DataFrame, revisions: DataFrame) -> DataFrame:
+    """change, revision, number and ref of each change (change, current, patchset): the revision of its patchset, else its current one; a change whose
+    wanted revision isn't among its revisions (change, revision, number, ref) has none."""
+    joined = changes.join(revisions, "change").where(F.when(F.col("patchset").isNotNull(), F.col("number") == F.col("patchset")).otherwise(F.col("revision") == F.col("current")))
+    return joined.select("change", "revision", "number", "ref")

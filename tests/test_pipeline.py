@@ -27,6 +27,25 @@ def test_review_of_findings(spark):
     assert {r.seq for r in pl.review(raw, verdicts, suppressed, ["*.md"], ["case_id"]).collect()} == {2}
 
 
+def test_review_by_models(spark):
+    from siltstone.operators.runtime import StubModel
+
+    finding = lambda line, severity="high": {"file": "f.c", "line": line, "severity": severity, "title": f"t{line}", "rationale": "r", "confidence": 0.9}
+    reviewer = StubModel({"Dimension: memory": json.dumps({"findings": [finding(5, "critical"), finding(50)]}), "Dimension: security": "```json\n" + json.dumps({"findings": [finding(7), {"file": "f.c"}]}) + "\n```"})
+    prompts = spark.createDataFrame([("a", "diff"), ("b", "diff")], "case_id string, prompt string")
+    got = pl.asked(prompts, reviewer, None, ["case_id"]).collect()
+    assert {(r.case_id, r.category, r.line) for r in got} == {(c, "memory", n) for c in "ab" for n in (5, 50)} and all(len(r.id) == 12 for r in got)
+
+    class Verifier:
+        def chat(self, request):
+            listing = request["messages"][0]["content"]
+            places = [int(p.split(" ")[0]) for p in listing.split("#")[3:] if "t5\n" in p]
+            return json.dumps({"verdicts": [{"index": p, "keep": False} for p in places]})
+
+    got = pl.asked(prompts, reviewer, Verifier(), ["case_id"]).collect()
+    assert {(r.category, r.line) for r in got} == {("security", 7), ("memory", 50)}
+
+
 def test_saved_reports_are_scored_anew(spark, tmp_path):
     report = {"caseId": "c", "ablation": "full", "findings": [{"file": "f", "line": 5, "category": "x"}, {"file": "g", "line": 1, "category": "x"}], "groundTruth": [{"file": "f", "line": 3, "endLine": 6, "category": "y"}, {"file": "h", "line": 1, "category": "y"}]}
     (tmp_path / "r.json").write_text(json.dumps(report))

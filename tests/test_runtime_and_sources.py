@@ -48,6 +48,28 @@ def test_retries_fallback_and_cache():
     assert model.chat({"m": "one", "schema": 1}) == "1" and len(model.known) == 2
 
 
+def test_schemas_are_dropped_once_refused():
+    class Plain:
+        calls = []
+
+        def chat(self, request):
+            self.calls.append(sorted(request))
+            if "schema" in request:
+                raise ValueError("error 400: response_format")
+            return "{}"
+
+    model = rt.Structured(Plain())
+    assert model.chat({"m": 1}, {"type": "object"}) == "{}" == model.chat({"m": 1}, {"type": "object"})
+    assert Plain.calls == [["m", "schema"], ["json", "m"], ["json", "m"]]
+
+    class Down:
+        def chat(self, request):
+            raise TimeoutError("slow")
+
+    with pytest.raises(TimeoutError):
+        rt.Structured(Down()).chat({}, {"type": "object"})
+
+
 def test_embedding_isolates_the_failing_text(spark):
     class Picky(rt.StubModel):
         def embed(self, texts):

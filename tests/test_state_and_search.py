@@ -39,6 +39,14 @@ def test_review_modes_follow_the_history(spark):
     assert got == {"a": "up-to-date", "b": "incremental", "c": "full", "d": "full", "e": "incremental", "f": "full", "g": "full", "h": "full"}
 
 
+def test_chosen_revisions(spark):
+    changes = spark.createDataFrame([(1, "b", None), (2, "b", 1), (3, "z", None), (4, "a", 9)], "change int, current string, patchset int")
+    revisions = spark.createDataFrame([(c, r, n, f"ref{n}") for c in (1, 2, 3, 4) for r, n in (("a", 1), ("b", 2))], "change int, revision string, number int, ref string")
+    assert {(r.change, r.revision, r.ref) for r in st.chosen_revisions(changes, revisions).collect()} == {(1, "b", "ref2"), (2, "a", "ref1")}
+    p = spark.createDataFrame([("PLACEHOLDER_key",), (" ",), (None,), ("sk-1",)], "v string")
+    assert [r[0] for r in p.select(fn.is_placeholder(p.v)).collect()] == [True, True, True, False]
+
+
 def test_recorded_keeps_what_has_no_head(spark):
     s = "key string, last_sha string, run_id string, updated int"
     got = st.recorded(spark.createDataFrame([("a", "1", "r", 5), ("b", "1", "r", 5)], s), spark.createDataFrame([("a", "2", "r", 1), ("b", None, "r", 9)], s))
