@@ -36,7 +36,8 @@ BLANKS = " \t\r\n"
 LITERALS = r"""[bB](?=['"])|"[^"\n]*"|'[^'\n]*'|\b[0-9][\w.]*|\b(?:true|false|null|None|True|False)\b|[\s\[\]{}(),:;+-]"""
 #: How a line of nothing but literals can begin; most lines of code are told from one by this alone.
 LITERAL_START = r"""^\s*(?:[\[\]{}(),:;+0-9"'-]|[bB]["']|true|false|null|None|True|False)"""
-NUMBERS = r"[0-9a-fx]*\d[0-9a-f]*"
+#: A number with what belongs to it in front, which is bounded: a long run of such letters without a digit is passed in linear time.
+NUMBERS = r"[0-9a-fx]{0,16}\d[0-9a-f]*"
 
 
 def lines_of(text: Column) -> Column:

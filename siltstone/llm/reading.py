@@ -31,7 +31,7 @@ SENTENCE_WEIGHT, PRIOR, ALTERNATIONS, INNER, NEWTON = 2.0, 1.0, 2, 4, 4
 
 FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 LINE_START = re.compile(r"^[ \t]*(?:#[^\n]*|//[^\n]*|[*+-][ \t]+|\d+[.)][ \t]+|>[ \t]*)", re.M)
-NOISE = re.compile(r"\([^()\n]*\)|\S*[/_`\d]\S*?(?=[.!?:;,]*(?:\s|\Z))")
+NOISE = re.compile(r"\([^()\n]*\)|(?<!\S)\S*?[/_`\d]\S*?(?=[.!?:;,]*(?:\s|\Z))")
 SENTENCE_END = re.compile(r"[.!?]+(?=\s|\Z)|\n[ \t]*\n")
 WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 

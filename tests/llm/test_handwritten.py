@@ -48,6 +48,11 @@ def test_chunks_of_a_file_are_judged_together(spark):
     assert [tuple(r) for r in not_handwritten(spark.createDataFrame(rows, SCHEMA)).collect()] == [("r", "gen.js")]
 
 
+def test_long_runs_take_linear_time(spark):
+    rows = [(1, "r", "a.js", None, 1, "var a='" + "b" * 200_000 + "';\n" + "function f(){}\n" * 20, "", "", "")]
+    assert {r.kind for r in classified(spark.createDataFrame(rows, SCHEMA)).collect()} == {"data"}
+
+
 def test_null_names_long_lines_and_empty_table(spark):
     rows = [(1, None, "a.py", None, 1, "x", "", "", ""), (2, "r", None, None, 1, "x", "", "", ""), (None, "r", "b.py", None, None, "x = [" + "1," * 200_000 + "]", "", "", "")]
     assert {r.file: r.kind for r in classified(spark.createDataFrame(rows, SCHEMA)).collect()} == {"b.py": "minified"}

@@ -49,3 +49,12 @@ def test_code_headings_and_identifiers_are_aside():
     assert found["page"] == 1 and found["look"] == 1 and found["now"] == 1
     assert not {"title", "hidden", "secret", "fold", "entry", "src", "see", "stays"} & set(found)
     assert sum(n for w, n in found.items() if w[0] == "#") == 2
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("=" * 300_000, "a" * 300_000, "(" * 300_000, " " * 300_000 + "x", "word " * 60_000 + "x_y"):
+        occurrences(text)
+    assert time.perf_counter() - began < 10
