@@ -224,18 +224,20 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP_LINES)
     def after(s: Column, body: Column) -> Column:
         tail = let(F.substring(F.col("text"), s["at"] - s["tail"] + 1, s["tail"] + body), tail_of)
         made = F.array_append(s["made"], F.struct(s["at"].alias("at"), s["tail"].alias("tail"), body.alias("body")))
-        return F.struct((s["at"] + body).alias("at"), tail.alias("tail"), made.alias("made"))
+        return F.struct((s["at"] + body).alias("at"), (s["left"] - body).alias("left"), tail.alias("tail"), made.alias("made"))
 
     def step(s: Column, _: Column) -> Column:
         room = F.lit(limit) - s["tail"]
         window = F.substring(F.col("shadow"), s["at"] + 1, room)
-        body = F.when(F.col("size") - s["at"] <= room, F.col("size") - s["at"]).otherwise(F.length(F.regexp_extract(window, pattern, 0)))
-        return F.when(s["at"] >= F.col("size"), s).otherwise(let(body, lambda b: after(s, b)))
-
-    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("tail"), F.array().cast("array<struct<at:int,tail:int,body:int>>").alias("made"))
-    # the next boundary of the kind that a step ends at, or of a stronger one, lies beyond its window, so two steps take more than a window of half the limit
-    most = F.ceil(F.col("size") * 4 / limit).cast("int") + 2
-    rows = rows.withColumn("made", F.aggregate(F.sequence(F.lit(1), most), empty, step, lambda s: s["made"]))
+        body = F.when(s["left"] <= room, s["left"]).otherwise(F.length(F.regexp_extract(window, pattern, 0)))
+        return F.when(s["left"] <= 0, s).otherwise(let(body, lambda b: after(s, b)))
+
+    # what is left is carried along: within the fold, the length of the text would be counted at every step
+    empty = F.struct(F.lit(0).alias("at"), F.col("size").alias("left"), F.lit(0).alias("tail"), F.array().cast("array<struct<at:int,tail:int,body:int>>").alias("made"))
+    # a step ends behind a line feed of its own or takes a whole window, which is half the limit at least
+    most = F.size("cuts") + F.size(parts) + F.ceil(F.col("size") / (limit // 2)).cast("int") + 1
+    unfinished = F.raise_error(F.concat(F.lit("pieces: the fold ended before the text of chunk_seq "), F.col("chunk_seq").cast("string")))
+    rows = rows.withColumn("made", F.aggregate(F.sequence(F.lit(1), most), empty, step, lambda s: F.when(s["left"] <= 0, s["made"]).otherwise(unfinished)))
     out = rows.select("chunk_seq", "file", "symbol", "start_line", "text", F.posexplode("made").alias("piece_no", "p"))
     feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     begin, size = F.col("p.at") - F.col("p.tail"), F.col("p.tail") + F.col("p.body")

@@ -168,3 +168,21 @@ def test_one_very_long_line(spark):
     text = "x" * 250_000
     ps = [r for r in pieces(df(spark, ("a.js", None, 7, text))).orderBy("piece_no").collect()]
     assert "".join(r.text for r in ps) == text and {(r.first_line, r.last_line) for r in ps} == {(7, 7)} and len(ps) == 63
+
+
+def test_small_steps_between_repeated_tails_lose_nothing(spark):
+    """A declaration, a blank line and a line end in front of a long line, which repeated lines leave no room for."""
+    texts = []
+    for n in (14, 40):
+        for shape in ((60, 1_940, 30), (5, 1_980, 10), (1_000, 940, 30)):
+            texts.append("".join(f"def f{i:03}(x):\n\n" + "".join("    " + "x" * (k - 4) + "\n" for k in shape) for i in range(n)))
+    found = {}
+    for r in pieces(df(spark, *[("a.py", None, 1, t) for t in texts])).orderBy("chunk_seq", "piece_no").collect():
+        found.setdefault(r.chunk_seq, []).append(r)
+    for i, text in enumerate(texts):
+        at, ps = 0, found[i]
+        for p in ps:
+            begin = sum(len(line) + 1 for line in text.split("\n")[: p.first_line - 1])
+            assert begin <= at < begin + len(p.text) <= begin + 4_000 and text.startswith(p.text, begin)
+            at = begin + len(p.text)
+        assert at == len(text)
