@@ -25,7 +25,7 @@ class Context:
 
     files (file, text), hunks (file, hunk_no, text), symbols (seq, file, name, kind, start_line, end_line), sites (file, line, site, callee), qualified
     (sites with qualifier), chunks (id, file, symbol, start_line, end_line, text), vectors (id, vector), signals (file, line, column, severity, rule, message),
-    guidelines (text), memory (id, seq, kind, category, title, text).
+    guidelines (text), memory (id, seq, kind, category, title, text, and vector where records are embedded).
     """
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -125,9 +125,16 @@ def recall_memory(c: Context, query: str, category: str | None = None, k: int =
     if memory is None:
         return "No relevant memory."
     pool = memory if category is None else memory.where(F.col("category") == category)
+    embedded = pool.where(F.size("vector") > 0) if c.embed is not None and "vector" in memory.columns else None
+    form = "concat('[', kind, '] (', category, ') ', title, ': ', text)"
+    if embedded is not None and not embedded.isEmpty():
+        # by cosine, in order of seq where equal; records without a vector take no part
+        asked = memory.sparkSession.createDataFrame([(0, [float(x) for x in c.embed.embed([query])[0]])], "id int, vector array<double>")
+        hits = retrieval.top_k(asked, embedded.select(F.col("seq").alias("id"), F.col("vector").cast("array<double>").alias("vector")), k).select(F.col("id").alias("seq"), "place").join(embedded, "seq")
+        return lines_of(hits, form, ["place"], k)
     asked = memory.sparkSession.createDataFrame([(0, "all", query)], "query_id int, category string, query string")
     hits = retrieval.keyword_recall(asked, pool.withColumn("category", F.lit("all")), k).join(pool, "id")
-    return lines_of(hits, "concat('[', kind, '] (', category, ') ', title, ': ', text)", ["place"], k) or "No relevant memory."
+    return lines_of(hits, form, ["place"], k) or "No relevant memory."
 
 
 TOOLS: dict[str, Callable[..., str]] = {

@@ -33,6 +33,19 @@ def context(spark):
     )
 
 
+def test_memory_is_recalled_by_vectors_where_there_are_some(spark):
+    model = StubModel(dim=16)
+    of = lambda text: model.embed([text])[0]
+    rows = [("a", 1, "kind", "memory", "leaked", "x", None), ("b", 2, "kind", "memory", "other", "x", of("leaked things")), ("c", 3, "kind", "style", "more", "x", of("leaked words")), ("d", 4, "kind", "tests", "leaked", "x", None)]
+    memory = spark.createDataFrame(rows, "id string, seq int, kind string, category string, title string, text string, vector array<double>")
+    ask = lambda embed, **args: tl.call(tl.Context({"memory": memory}, embed), "recall_memory", args).split("\n")
+    assert ask(model, query="leaked things") == ["[kind] (memory) other: x", "[kind] (style) more: x"]
+    assert ask(model, query="leaked things", category="style") == ["[kind] (style) more: x"]
+    assert ask(model, query="leaked things", k=1) == ["[kind] (memory) other: x"]
+    by_words = ["[kind] (memory) leaked: x", "[kind] (tests) leaked: x"]
+    assert ask(None, query="leaked things") == by_words and ask(model, query="leaked things", category="tests") == by_words[1:]
+
+
 def test_tools_answer(context):
     ask = lambda tool, /, **args: tl.call(context, tool, args)
     assert ask("get_diff") == "@@ -1 +1 @@" and ask("get_diff", file="b") == "No diff."
