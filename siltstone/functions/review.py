@@ -20,6 +20,9 @@ LANGUAGES = {
     "java": [".java"],
 }
 
+#: Other spellings of names of languages.
+LANGUAGE_NAMES = {"py": "python", "golang": "go", "ts": "typescript", "js": "javascript", "c++": "cpp", "cxx": "cpp", "rs": "rust"}
+
 #: Extensions worth a review besides those of LANGUAGES, and paths that aren't.
 MORE_REVIEWABLE = [".kt", ".cs", ".rb", ".php", ".swift", ".scala"]
 NOT_REVIEWABLE = [
@@ -67,6 +70,13 @@ def language(file: Column, otherwise: str = "text") -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), extension(file)), F.lit(otherwise))
 
 
+def source_language(file: Column, lang: Column) -> Column:
+    """The language by the file's extension, else by lang, however it is spelled; a .h is C++ where lang says so."""
+    name = F.lower(F.trim(lang))
+    spelled = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGE_NAMES.items() for x in pair]), name), name)
+    return F.when((extension(file) == ".h") & (spelled == "cpp"), "cpp").otherwise(F.coalesce(F.nullif(language(file, ""), F.lit("")), spelled))
+
+
 def reviewable(file: Column) -> Column:
     """True for source files outside lock files, bundles, generated and vendored folders; null counts as not."""
     known = [e for extensions in LANGUAGES.values() for e in extensions] + MORE_REVIEWABLE

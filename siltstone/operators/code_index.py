@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.review import source_language
+
 MAX_REFERENCES = 50
 
 #: Words before a parenthesis that aren't calls or functions.
@@ -30,17 +32,22 @@ def call_sites(chunks: DataFrame, keys: list[str], text: str = "text", start: st
     return named.where(~F.col("callee").isin(KEYWORDS + MORE_WORDS))
 
 
-def import_aliases(chunks: DataFrame, keys: list[str], lang: str = "lang", text: str = "text") -> DataFrame:
+def in_language(chunks: DataFrame, file: str | None, lang: str) -> DataFrame:
+    """chunks and _lang, by the file's extension, else by lang; by lang as it is spelled where file is None."""
+    return chunks.withColumn("_lang", F.col(lang) if file is None else source_language(F.col(file), F.col(lang)))
+
+
+def import_aliases(chunks: DataFrame, keys: list[str], lang: str = "lang", text: str = "text", file: str | None = "file") -> DataFrame:
     """keys, alias and original of renaming imports of TypeScript, JavaScript, Python and Go; those that keep the name are left out."""
-    rows = chunks.where(F.col(text).isNotNull())
+    rows = in_language(chunks.where(F.col(text).isNotNull()), file, lang)
     pairs = lambda df, pattern: df.select(*keys, F.explode(F.arrays_zip(F.regexp_extract_all("part", F.lit(pattern), 1).alias("original"), F.regexp_extract_all("part", F.lit(pattern), 2).alias("alias"))).alias("x")).select(*keys, "x.alias", "x.original")
-    parts = lambda langs, pattern: rows.where(F.col(lang).isin(langs)).select(*keys, F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("list")).select(*keys, F.explode(F.split("list", ",")).alias("part"))
+    parts = lambda langs, pattern: rows.where(F.col("_lang").isin(langs)).select(*keys, F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("list")).select(*keys, F.explode(F.split("list", ",")).alias("part"))
     first = lambda df, pattern: df.select(*keys, F.regexp_extract("part", pattern, 2).alias("alias"), F.regexp_extract("part", pattern, 1).alias("original"))
     scripts = first(parts(["typescript", "tsx", "javascript"], r"import\s+(?:type\s+)?\{([^}]*)\}\s+from"), r"([A-Za-z_$][\w$]*)\s+as\s+([A-Za-z_$][\w$]*)")
     named = first(parts(["python"], r"from\s+[\w.]+\s+import\s+([^\n#]+)"), r"([A-Za-z_]\w*)\s+as\s+([A-Za-z_]\w*)")
-    whole = rows.where(F.col(lang) == "python").withColumn("part", F.col(text))
+    whole = rows.where(F.col("_lang") == "python").withColumn("part", F.col(text))
     modules = pairs(whole, r"(?m)^\s*import\s+(?:\w+\.)*(\w+)\s+as\s+([A-Za-z_]\w*)")
-    go = pairs(rows.where(F.col(lang) == "go").withColumn("part", F.col(text)), r'(?m)^\s*([A-Za-z_]\w*)\s+"[^"\n]+/([A-Za-z_]\w*)"').select(*keys, F.col("original").alias("alias"), F.col("alias").alias("original"))
+    go = pairs(rows.where(F.col("_lang") == "go").withColumn("part", F.col(text)), r'(?m)^\s*([A-Za-z_]\w*)\s+"[^"\n]+/([A-Za-z_]\w*)"').select(*keys, F.col("original").alias("alias"), F.col("alias").alias("original"))
     union = scripts.unionByName(named).unionByName(modules).unionByName(go)
     return union.where((F.col("alias") != "") & (F.col("original") != "") & (F.col("alias") != F.col("original"))).distinct()
 
@@ -55,11 +62,12 @@ BINDINGS = {
 TYPED_LIKE = {"typescript": ["typescript", "tsx"], "python": ["python"], "go": ["go"], "cpp": ["cpp"]}
 
 
-def type_bindings(chunks: DataFrame, keys: list[str], lang: str = "lang", text: str = "text", seq: str = "start_line") -> DataFrame:
+def type_bindings(chunks: DataFrame, keys: list[str], lang: str = "lang", text: str = "text", seq: str = "start_line", file: str | None = "file") -> DataFrame:
     """keys, variable, type and seq of variables whose declaration names their type, as far as its look tells; only the languages of BINDINGS."""
     out = None
+    known = in_language(chunks.where(F.col(text).isNotNull()), file, lang)
     for family, patterns in BINDINGS.items():
-        own = chunks.where(F.col(lang).isin(TYPED_LIKE[family]) & F.col(text).isNotNull())
+        own = known.where(F.col("_lang").isin(TYPED_LIKE[family]))
         for pattern in patterns:
             found = own.select(*keys, F.col(seq).alias("_seq"), F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("a"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("b"))).alias("_pos", "_x"))
             variable, kind = ("_x.b", "_x.a") if family == "cpp" else ("_x.a", "_x.b")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.review import LANGUAGE_NAMES
 from siltstone.operators import code_index as ci
 from siltstone.operators import retrieval as rt
 from siltstone.operators import state as st
 from siltstone.plans import views
+from siltstone.plans.review_queries import LANGUAGE_CASE_SQL
 from siltstone.plans.views import with_views
 from siltstone.sources.tables import table
 
@@ -52,15 +54,24 @@ def find_references_capped(spark: SparkSession, folder: str) -> DataFrame:
 REFERENCES_SQL = with_views("k", more=SITES) + """SELECT repo, callee, file, line, place FROM (SELECT *, row_number() OVER (PARTITION BY repo, callee ORDER BY file, line, site, chunk_seq) AS place FROM sites) WHERE place <= 50"""
 
 
-def qualifiers_for(spark: SparkSession, folder: str) -> DataFrame:
-    """The types or receivers that a name is called on, under their imported names where renamed."""
+def _qualifiers(spark: SparkSession, folder: str, file: str | None) -> DataFrame:
     chunks = views.raw_chunks(spark, folder)
-    aliases = ci.import_aliases(chunks, ["repo", "file"])
+    aliases = ci.import_aliases(chunks, ["repo", "file"], file=file)
     sites = _sites(spark, folder)
-    bindings = ci.type_bindings(chunks, ["repo", "file"])
+    bindings = ci.type_bindings(chunks, ["repo", "file"], file=file)
     return ci.qualified_sites(sites, bindings, aliases, ["repo", "file"]).select("repo", "callee", "qualifier").distinct()
 
 
+def qualifiers_for(spark: SparkSession, folder: str) -> DataFrame:
+    """The types or receivers that a name is called on, under their imported names where renamed; languages by lang as delivered, as in its SQL."""
+    return _qualifiers(spark, folder, None)
+
+
+def qualifiers_for_by_file(spark: SparkSession, folder: str) -> DataFrame:
+    """qualifiers_for, languages by the files' extensions."""
+    return _qualifiers(spark, folder, "file")
+
+
 ALIASES = r"""al AS (SELECT DISTINCT repo, file, alias, original FROM (
   SELECT repo, file, regexp_extract(p, '([A-Za-z_$][\w$]*)\s+as\s+([A-Za-z_$][\w$]*)', 2) AS alias, regexp_extract(p, '([A-Za-z_$][\w$]*)\s+as\s+([A-Za-z_$][\w$]*)', 1) AS original FROM (
     SELECT repo, file, unnest(string_split(l, ',')) AS p FROM (SELECT repo, file, unnest(regexp_extract_all(text, 'import\s+(?:type\s+)?\{([^}]*)\}\s+from', 1)) AS l FROM k WHERE lang IN ('typescript', 'tsx', 'javascript')))
@@ -82,12 +93,21 @@ def _bindings_sql() -> str:
     return "bi AS (" + " UNION ALL ".join(each) + ")"
 
 
-def type_bindings(spark: SparkSession, folder: str) -> DataFrame:
-    """How often a variable of a file is declared with a type."""
-    once = ci.type_bindings(views.raw_chunks(spark, folder), ["chunk_seq", "repo", "file"]).distinct()
+def _bindings(spark: SparkSession, folder: str, file: str | None) -> DataFrame:
+    once = ci.type_bindings(views.raw_chunks(spark, folder), ["chunk_seq", "repo", "file"], file=file).distinct()
     return once.groupBy("repo", "file", "variable", "type").agg(F.count("*").alias("n"))
 
 
+def type_bindings(spark: SparkSession, folder: str) -> DataFrame:
+    """How often a variable of a file is declared with a type; languages by lang as delivered, as in its SQL."""
+    return _bindings(spark, folder, None)
+
+
+def type_bindings_by_file(spark: SparkSession, folder: str) -> DataFrame:
+    """type_bindings, languages by the files' extensions."""
+    return _bindings(spark, folder, "file")
+
+
 BINDINGS_SQL = with_views("k", more=_bindings_sql()) + "SELECT repo, file, variable, type, count(*) AS n FROM bi GROUP BY ALL"
 
 QUALIFIERS_SQL = with_views("k", more=SITES + ", " + ALIASES + ", " + _bindings_sql() + """, am AS (SELECT repo, file, alias, max(original) AS original FROM al GROUP BY ALL),
@@ -98,12 +118,26 @@ LEFT JOIN am a ON a.repo = s.repo AND a.file = s.file AND a.alias = s.receiver W
 
 
 def import_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    """Renaming imports; languages by lang as delivered, as in its SQL."""
+    return ci.import_aliases(views.raw_chunks(spark, folder), ["repo", "file"], file=None)
+
+
+def import_aliases_by_file(spark: SparkSession, folder: str) -> DataFrame:
+    """import_aliases, languages by the files' extensions."""
     return ci.import_aliases(views.raw_chunks(spark, folder), ["repo", "file"])
 
 
 ALIASES_SQL = with_views("k", more=ALIASES) + "SELECT repo, file, alias, original FROM al"
 
 
+def _by_file_sql(sql: str) -> str:
+    """sql with languages by the files' extensions, else by lang, however it is spelled."""
+    spelled = "CASE lower(trim(lang)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LANGUAGE_NAMES.items()) + " ELSE lower(trim(lang)) END"
+    known = f"CASE WHEN lower(file) LIKE '%.h' AND {spelled} = 'cpp' THEN 'cpp' ELSE {LANGUAGE_CASE_SQL.format(otherwise=spelled)} END"
+    return sql.replace(views.SQL["k"], f"k AS (SELECT DISTINCT * REPLACE ({known} AS lang) FROM code_chunks)")
+
+
+
 def changed_context(spark: SparkSession, folder: str) -> DataFrame:
     """Every symbol chunk, as changed, with the first five sites that call it in its repository."""
     c = views.chunks(spark, folder)
@@ -305,12 +339,12 @@ LAYERS_SQL = with_views("f") + "SELECT category AS dimension, case_id, count(*)
 QUERIES = {
     f.__name__: f
     for f in (
-        call_sites, find_definition, find_references_capped, qualifiers_for, import_aliases, type_bindings, changed_context, resolve_qualified, extract_symbols, vector_topk, memory_merge, feedback_upsert, repo_profile, exemplars,
+        call_sites, find_definition, find_references_capped, qualifiers_for, qualifiers_for_by_file, import_aliases, import_aliases_by_file, type_bindings, type_bindings_by_file, changed_context, resolve_qualified, extract_symbols, vector_topk, memory_merge, feedback_upsert, repo_profile, exemplars,
         keyword_recall, index_freshness, index_reuse, review_mode, record_reviewed, fix_commit_pick, graph_layers,
     )
 }
 ORACLES = {
-    "call_sites": CALLS_SQL, "find_definition": DEFINITION_SQL, "find_references_capped": REFERENCES_SQL, "qualifiers_for": QUALIFIERS_SQL, "import_aliases": ALIASES_SQL, "type_bindings": BINDINGS_SQL, "changed_context": CONTEXT_SQL, "resolve_qualified": RESOLVE_SQL,
+    "call_sites": CALLS_SQL, "find_definition": DEFINITION_SQL, "find_references_capped": REFERENCES_SQL, "qualifiers_for": QUALIFIERS_SQL, "import_aliases": ALIASES_SQL, "type_bindings": BINDINGS_SQL, "qualifiers_for_by_file": _by_file_sql(QUALIFIERS_SQL), "import_aliases_by_file": _by_file_sql(ALIASES_SQL), "type_bindings_by_file": _by_file_sql(BINDINGS_SQL), "changed_context": CONTEXT_SQL, "resolve_qualified": RESOLVE_SQL,
     "vector_topk": TOPK_SQL, "memory_merge": MERGE_SQL, "feedback_upsert": FEEDBACK_SQL, "repo_profile": PROFILE_SQL, "exemplars": EXEMPLARS_SQL, "keyword_recall": RECALL_SQL, "index_freshness": FRESH_SQL,
     "index_reuse": REUSE_SQL, "review_mode": MODE_SQL, "record_reviewed": RECORD_SQL, "fix_commit_pick": FIX_SQL, "graph_layers": LAYERS_SQL,
 }

@@ -46,6 +46,15 @@ def test_python_and_go_aliases(spark):
     assert {(r.file, r.alias, r.original) for r in got.collect()} == {("a.py", "nl", "linalg"), ("a.py", "B", "A"), ("b.go", "pb", "proto")}
 
 
+def test_languages_go_by_extension_then_by_lang(spark):
+    rows = [("a.py", None), ("b.py", "go"), ("c", " PY "), ("d.ts", "unknown"), ("e.mts", "TS"), ("f.h", "C++"), ("g.cc", "text"), ("h.h", "c"), ("i.py", "python")]
+    code = {"py": "from x import A as B\nb = B()\n", "ts": 'import { A as B } from "x";\nlet b: B = f();\n', "cc": "B b;\n"}
+    kind = {"c": "py", "e.mts": "ts", "f.h": "cc", "h.h": "cc"}
+    chunks = spark.createDataFrame([(f, lang, code[kind.get(f) or f.split(".")[1]], 1) for f, lang in rows], "file string, lang string, text string, start_line int")
+    assert {r.file for r in ci.type_bindings(chunks, ["file"]).where("variable = 'b' AND type = 'B'").collect()} == {f for f, _ in rows} - {"h.h"}
+    assert {r.file for r in ci.import_aliases(chunks, ["file"]).collect()} == {"a.py", "b.py", "c", "d.ts", "e.mts", "i.py"}
+
+
 def test_qualified_definitions_prefer_the_enclosing_type(spark):
     schema = "seq int, repo string, file string, name string, kind string, start_line int, end_line int"
     symbols = spark.createDataFrame([(1, "r", "log.h", "Logger", "class", 1, 20), (2, "r", "log.h", "flush", "method", 5, 7), (3, "r", "buffer.h", "flush", "method", 100, 110), (4, "r", "log.h", "flush", "method", 30, 31)], schema)
