@@ -150,6 +150,20 @@ y AS (SELECT gt_seq::VARCHAR AS file, coalesce(note, '?') AS symbol, 1 AS start_
 t AS (SELECT y.*, substring(array_to_string(a[start_line:end_line], chr(10)), 1, 4000) AS text FROM y JOIN d USING (file))
 SELECT substring(sha1(concat_ws(':', file, start_line::VARCHAR, end_line::VARCHAR)), 1, 16) AS id, file, symbol, start_line, end_line, md5(text) AS digest FROM t WHERE regexp_matches(text, '[^ \t\n\r\x0b\x0c]')"""
 
+
+def chunk_symbols_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbol chunks of all lines of all documents: each tenth line begins a symbol of 15 lines, so several of a file overlap and its last may end beyond it."""
+    files = _documents(spark, folder).select(F.col("doc_id").cast("string").alias("file"), "text")
+    starts = files.where("text IS NOT NULL").select("file", F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n", -1)), F.lit(10))).alias("start_line"))
+    symbols = starts.select("file", F.concat(F.lit("s"), F.col("start_line").cast("string")).alias("name"), F.lit("function").alias("kind"), "start_line", (F.col("start_line") + 14).alias("end_line"))
+    return tt.symbol_chunks(files, symbols).select("id", "file", "symbol", "start_line", "end_line", F.md5("text").alias("digest"))
+
+
+CHUNK_SYMBOLS_ALL_SQL = r"""WITH d AS (SELECT doc_id::VARCHAR AS file, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+y AS (SELECT file, a, unnest(range(1, len(a) + 1, 10))::INT AS start_line FROM d),
+t AS (SELECT file, 's' || start_line::VARCHAR AS symbol, start_line, start_line + 14 AS end_line, substring(array_to_string(a[start_line:start_line + 14], chr(10)), 1, 4000) AS text FROM y)
+SELECT substring(sha1(concat_ws(':', file, start_line::VARCHAR, end_line::VARCHAR)), 1, 16) AS id, file, symbol, start_line, end_line, md5(text) AS digest FROM t WHERE regexp_matches(text, '[^ \t\n\r\x0b\x0c]')"""
+
 PATTERN = r"lock_guard|mu\.Lock\(\)|assert\("
 
 
@@ -222,12 +236,12 @@ SELECT source, lang, md5(t) AS digest, length(t) AS n FROM k"""
 QUERIES = {
     f.__name__: f
     for f in (
-        diff_parse, effective_changed_lines, commentable_lines, parse_log_lines, parse_go_vet_lines, parse_json_findings, parse_tool_json, parse_answers, chunk_windows, chunk_symbols, line_grep, lang_lookup,
+        diff_parse, effective_changed_lines, commentable_lines, parse_log_lines, parse_go_vet_lines, parse_json_findings, parse_tool_json, parse_answers, chunk_windows, chunk_symbols, chunk_symbols_all, line_grep, lang_lookup,
         reviewable_files, infer_category, slugify, review_key, guidelines_concat,
     )
 }
 ORACLES = {
     "diff_parse": DIFF_SQL, "effective_changed_lines": EFFECTIVE_SQL, "commentable_lines": COMMENTABLE_SQL, "parse_log_lines": LOG_SQL, "parse_go_vet_lines": GO_VET_SQL, "parse_json_findings": JSON_FINDINGS_SQL,
-    "parse_tool_json": TOOL_JSON_SQL, "parse_answers": ANSWERS_SQL, "chunk_windows": WINDOWS_SQL, "chunk_symbols": CHUNK_SYMBOLS_SQL, "line_grep": GREP_SQL, "lang_lookup": LANG_SQL, "reviewable_files": REVIEWABLE_SQL,
+    "parse_tool_json": TOOL_JSON_SQL, "parse_answers": ANSWERS_SQL, "chunk_windows": WINDOWS_SQL, "chunk_symbols": CHUNK_SYMBOLS_SQL, "chunk_symbols_all": CHUNK_SYMBOLS_ALL_SQL, "line_grep": GREP_SQL, "lang_lookup": LANG_SQL, "reviewable_files": REVIEWABLE_SQL,
     "infer_category": CATEGORY_SQL, "slugify": SLUG_SQL, "review_key": REVIEW_KEY_SQL, "guidelines_concat": GUIDELINES_SQL,
 }
