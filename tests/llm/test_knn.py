@@ -67,7 +67,8 @@ def test_blocks_within_a_pair_of_tiles(monkeypatch):
     rows = clustered(np.random.default_rng(8), 120, 0.4)
     for pair in ((0, 0), (0, 1)):
         tiles = [0 if pair == (0, 0) else i % 2 for i in range(len(rows))]
-        frame = pd.DataFrame({"id": [r[0] for r in rows], "vector": [np.array(r[1]) for r in rows], "tile": tiles})
+        codes, factor, left = knn.quantised(knn.unit_rows(np.array([r[1] for r in rows])))
+        frame = pd.DataFrame({"id": [r[0] for r in rows], "code": [c.tobytes() for c in codes], "factor": factor, "left": left, "tile": tiles})
         got = knn.tile_pairs(5, float("-inf"))(pair, frame)
         best = brute(rows, k=len(rows))
         x = {r[0]: np.array(r[1], float) / np.linalg.norm(r[1]) for r in rows}
@@ -75,12 +76,40 @@ def test_blocks_within_a_pair_of_tiles(monkeypatch):
         for i, t in zip(frame["id"], tiles):
             near = sorted((b for a, b in best if a == i and (pair == (0, 0) or tiles[list(frame["id"]).index(b)] != t)), key=lambda b: (-round(float(x[i] @ x[b]), 12), b))[:5]
             want |= {(i, b) for b in near}
-        assert set(zip(got["id"], got["other"])) == want and len(got) == len(want)
+        found = set(zip(got["id"], got["other"]))
+        assert found >= want and len(got) == len(found)  # candidates: the nearest are among them
+        assert all(low <= x[a] @ x[b] <= high for a, b, low, high in got.itertuples(index=False))
 
 
 def test_int8_margin_is_a_bound():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    back, left = knn.quantised(x)
-    assert np.abs(x @ x.T - back @ back.T).max() <= left + (1 + left) * left + 1e-5
+    unit = knn.unit_rows(rng.normal(size=(200, 64)))
+    codes, factor, left = knn.quantised(unit)
+    assert codes.dtype == np.int8
+    about = knn.int8_product()(codes, codes) * np.outer(factor, factor)
+    assert (np.abs(unit @ unit.T - about) <= left[:, None] + left + np.outer(left, left) + 1e-12).all()
+
+
+def test_products_are_exact_sums(monkeypatch):
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(-127, 128, (n, 64)).astype(np.int8) for n in (70, 33))
+    want = a.astype(np.int64) @ b.astype(np.int64).T
+    got = knn.int8_product()(a, b)
+    assert got.dtype == np.int32 and (got == want).all()
+    monkeypatch.setitem(__import__("sys").modules, "onnxruntime", None)
+    assert (knn.int8_product()(a, b) == want).all()
+
+
+def test_heaps_keep_all_that_can_be_nearest():
+    rng = np.random.default_rng(3)
+    true = rng.uniform(-1, 1, (40, 300))
+    about = (true + rng.uniform(-0.02, 0.02, true.shape)).astype(np.float32)
+    for down in (False, True):
+        near = knn.Nearest(40, 5, float("-inf"), 0.02)
+        for at in range(0, 300, 60):
+            part = about[:, at : at + 60]
+            near.absorb(np.ascontiguousarray(part.T) if down else part, at, down)
+        row, col, _ = near.kept()
+        kept = set(zip(row.tolist(), col.tolist()))
+        assert all((r, int(c)) in kept for r in range(40) for c in np.argsort(-true[r])[:5])
+        assert len(kept) < 40 * 40
