@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import encoded
@@ -42,6 +42,22 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces(table(spark, folder, "code_chunks"))
 
 
+def p4_glued(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every oversized chunk put together again, each without what it repeats: digest of the whole, lines it spans, whether all pieces are
+    within the limit, and whether each begins with the end of the one before, five whole lines or as many as fit."""
+    cut = pieces(table(spark, folder, "code_chunks"))
+    before = F.lag("text").over(Window.partitionBy("chunk_seq").orderBy("piece_no"))
+    head = F.substring(F.col("text"), F.lit(1), F.col("repeated"))
+    feeds = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + (~F.endswith(head, F.lit("\n"))).cast("int")
+    # fewer than five lines only where one more line of the piece before wouldn't leave room, or where it has no more
+    longer = F.length(F.substring_index(F.when(F.endswith("before", F.lit("\n")), F.substring(F.col("before"), F.lit(1), F.length("before") - 1)).otherwise(F.col("before")), "\n", -5))
+    repeats = F.col("before").isNull() | (F.endswith("before", head) & ((F.col("repeated") == 0) | (feeds <= 5)) & ((feeds == 5) | (longer >= 3999 - 1) | (longer <= F.col("repeated"))))
+    new = F.struct("piece_no", F.substring(F.col("text"), F.col("repeated") + 1, F.lit(2**31 - 1)).alias("new"))
+    told = cut.withColumn("before", before).select("chunk_seq", new.alias("x"), "first_line", "last_line", (F.length("text") <= 4_000).alias("fits"), repeats.alias("repeats"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["new"]), "")
+    return told.groupBy("chunk_seq").agg(F.md5(whole).alias("digest"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.bool_and("fits").alias("fits"), F.bool_and("repeats").alias("repeats"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return not_handwritten(table(spark, folder, "code_chunks"))
 
@@ -72,7 +88,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_kinds, p6_found, p6_topk, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_classes, p4_found, p4_pieces, p4_glued, p5_found, p5_kinds, p6_found, p6_topk, p7_ids, p8_found, p9_found)}
 
 P1_SQL = r"""
 WITH f AS (
@@ -122,6 +138,12 @@ d AS (SELECT class_id, count(*) AS n FROM l WHERE shared >= 0.6 * (na + nb - sha
 SELECT f.finding_seq, c.class_id, coalesce(d.n, 0) AS n_links FROM f JOIN c ON f.path = c.path AND f.w = c.w LEFT JOIN d ON d.class_id = c.class_id
 """
 
+P4_GLUED_SQL = r"""
+SELECT DISTINCT chunk_seq, md5(text) AS digest, coalesce(start_line, 1)::INT AS first_line,
+       (coalesce(start_line, 1) + length(text) - length(replace(text, chr(10), '')) - ends_with(text, chr(10))::INT)::INT AS last_line, true AS fits, true AS repeats
+FROM code_chunks WHERE length(text) > 4000 AND chunk_seq IS NOT NULL
+"""
+
 P6_SQL = """
 WITH u AS (
   SELECT id, any_value(vector) AS v FROM vectors
@@ -143,5 +165,5 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)
 """
 
 ORACLES = {
-    "p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p3_found": P3_SQL, "p3_classes": P3_CLASSES_SQL, "p6_found": P6_SQL, "p6_topk": P6_TOPK_SQL, "p8_found": P8_SQL,
+    "p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p3_found": P3_SQL, "p3_classes": P3_CLASSES_SQL, "p4_glued": P4_GLUED_SQL, "p6_found": P6_SQL, "p6_topk": P6_TOPK_SQL, "p8_found": P8_SQL,
 }

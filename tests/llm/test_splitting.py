@@ -186,3 +186,29 @@ def test_small_steps_between_repeated_tails_lose_nothing(spark):
             assert begin <= at < begin + len(p.text) <= begin + 4_000 and text.startswith(p.text, begin)
             at = begin + len(p.text)
         assert at == len(text)
+
+
+@pytest.mark.parametrize("depth", [1, 4, 7])
+def test_any_depth_of_namespaces(spark, depth):
+    heads = [f"namespace n{i} {{" if i % 2 else f"namespace n{i}\n{{" for i in range(depth)]
+    body = "".join(f"int f{i}(int a) {{\n  if (a) {{ g(); }} else {{ h(); }}\n  return a;\n}}\n" for i in range(60))
+    text = "\n".join(heads) + "\n" + body + "}\n" * depth
+    first = ("\n".join(heads)).count("\n") + 2
+    assert cuts(spark, "a.cpp", text) == [first + 4 * i for i in range(60)]
+
+
+def test_closing_line_with_a_comment(spark):
+    assert cuts(spark, "a.cpp", "void f() {\n  if (a) {\n  }  // if\n}  // f\nvoid g() {\n} // g\n") == [5]
+
+
+def test_windows_that_begin_inside_comments_and_strings(spark):
+    assert cuts(spark, "a.ts", " * the rest\n */\nexport const f = (a: number) => {\n  g(`x ${a}`);\n};\nfunction h() {\n}\n") == [6]
+    assert cuts(spark, "a.py", 'the rest of it.\n    """\n    return 1\n\ndef f(x):\n    """Says `so`.\n\n    def no():\n    """\n\ndef g():\n    pass\n') == [5, 11]
+    assert cuts(spark, "a.js", "function rendered(x) {\n}\n`;\n  return 1;\n}\nconst f = (\n  a,\n  b,\n) => {\n  return `${a}`;\n};\nconst y = (\n  1 + 2\n);\nfunction z() {}\n") == [6, 15]
+
+
+def test_five_lines_are_repeated_while_one_character_fits(spark):
+    text = "".join("x" * 790 + f"{i:03}\n" for i in range(40))
+    ps = [r for r in pieces(df(spark, ("a.txt", None, 1, text))).orderBy("piece_no").collect()]
+    assert ps[0].repeated == 0 and all(p.repeated >= 5 * 790 - 795 for p in ps[1:])
+    assert "".join(p.text[p.repeated :] for p in ps) == text
