@@ -11,9 +11,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import staged
+
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -22,8 +25,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
-#: Words kept with their ids by one task, and the longest such word.
-KEPT_WORDS, LONGEST_KEPT = 400_000, 64
+#: Words of the corpus that are merged once for all of it and broadcast with their ids: the most frequent ones, of at most LONGEST_KEPT characters
+#: (so the broadcast has at most about 100 MB); words over which one inverted index spans, and others kept with their ids by one task.
+HEAD_WORDS, LONGEST_KEPT, INDEX_WORDS, KEPT_WORDS = 200_000, 64, 50_000, 200_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -96,17 +100,17 @@ class MergeReplay:
 
 
 class CorpusEncoder:
-    """Texts to ids; words of earlier batches are known, those new to a batch are merged together."""
+    """Texts to ids; head words and those of earlier batches are known, those new to a batch are merged together."""
 
-    def __init__(self, tokens: list[bytes]) -> None:
-        self.replay = MergeReplay(tokens)
+    def __init__(self, tokens: list[bytes], head: dict[str, list[int]] | None = None) -> None:
+        self.replay, self.head = MergeReplay(tokens), head or {}
         self.words, self.ascii_words = regex.compile(WORDS).findall, regex.compile(ASCII_WORDS).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, list[int]] = dict(self.head)
 
     def encode(self, texts: list[str | None]) -> list[list[str]]:
         """The words of each text, all of them known afterwards."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
+        if len(self.known) > len(self.head) + KEPT_WORDS:
+            self.known = dict(self.head)
         known = self.known
         cut = [(self.ascii_words if t.isascii() else self.words)(t) if t else [] for t in texts]
         new = list({w for ws in cut for w in ws if w not in known})
@@ -127,18 +131,62 @@ class CorpusEncoder:
         return offsets, values
 
 
+def frequent_words(documents: DataFrame, text: str, most: int) -> DataFrame:
+    """word of the most frequent words of all texts, `most` at most.
+
+    Words are counted on the map side first. How often a word must occur follows from a histogram of the counts by quarters of powers of two, so nothing is
+    sorted and no task takes more than its share. Java's letters and digits may differ from the encoder's in rare characters: a word
+    that is cut otherwise here is not looked up there, which changes no id.
+    """
+    words = documents.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORDS), 0)).alias("word")).where(F.length("word") <= LONGEST_KEPT)
+    level = F.floor(F.log2("n") * 4).cast("int")
+    counted = staged(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("level", level), "corpus-words")
+    left, least = most, 0
+    for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        if r["count"] > left:
+            least = r["level"] + 1
+            break
+        left -= r["count"]
+    return counted.where(F.col("level") >= least).select("word")
+
+
+def merged_words(words: DataFrame, tokens: Broadcast) -> DataFrame:
+    """word and ids of distinct words: each task replays all merges over its words, INDEX_WORDS of them in one inverted index."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay, waiting = MergeReplay(tokens.value), []
+
+        def replayed() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(waiting, pa.string()), pa.array(replay.encode([w.encode() for w in waiting]), pa.list_(pa.int32()))], names=["word", "ids"])
+
+        for records in batches:
+            waiting += records.column(0).to_pylist()
+            if len(waiting) >= INDEX_WORDS:
+                yield replayed()
+                waiting = []
+        if waiting:
+            yield replayed()
+
+    return words.repartition(words.sparkSession.sparkContext.defaultParallelism, "word").mapInArrow(each, "word string, ids array<int>")
+
+
 def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", batch: int = 512) -> DataFrame:
     """key and ids (array<int>) of every row: the byte-pair ids of its text without special tokens.
 
     A null or empty text gives an empty list; text that spells a special token is plain text. Rows map one to one, whatever they hold.
-    The merges are replayed within each task over the distinct words it meets: an inverted index from rank to positions applies them
-    in rank order and touches only neighbours. Nothing is shuffled, for joining ids to every occurrence of a word would move
-    more than the corpus; the vocabulary (a fixed file) is broadcast.
+
+    The merges are replayed over the words of the whole corpus: each of its HEAD_WORDS most frequent words enters an inverted index from rank to
+    positions once, and every merge is applied there in rank order, touching only neighbours. Their ids are broadcast, a bounded table. Rarer
+    words, if there are more, are merged by the task that meets them, through an index over all the new words of `batch` rows: joining
+    their ids back to their places would move the documents, and they are too rare for their merges to be shared.
     """
     tokens = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
+    # at most HEAD_WORDS rows
+    merged = merged_words(frequent_words(documents, text, HEAD_WORDS), tokens).toArrow()
+    head = documents.sparkSession.sparkContext.broadcast(dict(zip(merged.column("word").to_pylist(), merged.column("ids").to_pylist())))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CorpusEncoder(tokens.value)
+        encoder = CorpusEncoder(tokens.value, head.value)
         for records in batches:
             for at in range(0, records.num_rows, batch):
                 part = records.slice(at, batch)
