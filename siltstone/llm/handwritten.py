@@ -7,7 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.splitting import family_of
+from siltstone.llm.splitting import family_of, let
+from siltstone.session import staged
 
 #: Thresholds by family of languages: mean line length above which, and white-space share below which, a file is minified; share of its
 #: characters on lines of nothing but literals, and in encoded runs, above which it is data; share of different lines (numbers
@@ -21,6 +22,9 @@ LIMITS = {
 }
 #: Lines a file needs before the share of different ones says anything; letters and digits of an encoded run.
 LEAST_LINES, ENCODED_RUN = 12, 120
+#: Lines of a run by which copies are known again, letters and digits a run needs, and the share of a file's runs that stand in another repository, too,
+#: from which on it is a copy. Runs that make up one part in HOT_SHARE of all, so at most HOT_SHARE of them, are told by a broadcast.
+RUN_LINES, RUN_LETTERS, COPIED, HOT_SHARE = 6, 40, 0.3, 10_000
 #: A line of this length, almost without blanks and dense in letters and digits, counts as encoded in any language.
 LONG_LINE, DENSE = 2_000, 0.95
 
@@ -30,7 +34,11 @@ GENERATED_NAMES = r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|h|cc)|(?:^|/)zz_generate
 MINIFIED_NAMES = r"[.-]min\.(?:js|mjs|css)$"
 GENERATED_HEAD = r"(?i)^(?:code generated\b|auto-?generated (?:file\b|by\b)|<auto-generated|@generated\b|generated (?:from|by)\b|this file (?:was|is) (?:automatically |auto-?)?generated\b|automatically generated\b|produced by \S+ v?\d)"
 HOLDER_HEAD = r"(?i)\bcopyright\s*(?:\(c\)|©|\d)|^\(c\)\s*\d{4}|^spdx-(?:filecopyrighttext|license)|^@licen[sc]e\b|^author\s*:|^this file is part of\b|^part of\b|^imported from\b|^vendored from\b"
-HEAD_LINES = 10
+#: Where a file's first line of code begins; what comes before are blank lines and comments.
+FIRST_CODE = r"(?m)^[ \t]*+(?!//|#|/?\*|<!--|\s)\S"
+COMMENT_LINE = r"^\s*(?://|#|/?\*|<!--)"
+#: Last lines of a file among which a generator's banner is looked for.
+TAIL_LINES = 3
 BLANKS = " \t\r\n"
 
 LITERALS = r"""[bB](?=['"])|"[^"\n]*"|'[^'\n]*'|\b[0-9][\w.]*|\b(?:true|false|null|None|True|False)\b|[\s\[\]{}(),:;+-]"""
@@ -51,9 +59,14 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     literal = F.filter("lines", lambda x: F.when(x.rlike(LITERAL_START), F.length(F.regexp_replace(x, LITERALS, "")) == 0).otherwise(F.lit(False)))
     of = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
     among = lambda letters: (F.length("whole") - F.length(F.translate("whole", letters, ""))).cast("bigint")
-    comments = F.transform(
-        F.filter(F.slice("lines", 1, HEAD_LINES), lambda x: x.rlike(r"^\s*(?://|#|/?\*|<!--)")), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:///?|/\*+!?|#+!?|\*+|<!--)\s*", ""))
-    )
+    code_at = F.regexp_instr("whole", F.lit(FIRST_CODE))
+    front = F.when(code_at > 0, F.substring(F.col("whole"), F.lit(1), code_at - 1)).otherwise(F.col("whole"))
+    # a block comment whose lines don't begin with asterisks ends at its own mark
+    open_block = front.rlike(r"(?:^|\n)[ \t]*/\*(?:[^*]|\*(?!/))*+\z") & (code_at > 0)
+    rest = F.substring(F.col("whole"), code_at, F.lit(2**31 - 1))
+    front = F.when(open_block, F.concat(front, F.substring_index(rest, "*/", 1))).otherwise(front)
+    said = lambda xs: F.transform(xs, lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:///?|/\*+!?|#+!?|\*+|<!--)?\s*", "")))
+    last = F.filter(F.slice("lines", -F.least(F.lit(TAIL_LINES), F.size("lines")), TAIL_LINES), lambda x: x.rlike(COMMENT_LINE))
     per_chunk = lines.select(
         "chunk_seq",
         "repo",
@@ -68,28 +81,79 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
         among(string.ascii_letters + string.digits).alias("n_alnum"),
         F.length("whole").cast("bigint").alias("n_all"),
         of(F.regexp_extract_all("whole", F.lit(rf"[A-Za-z0-9+/=]{{{ENCODED_RUN},}}"), 0)).alias("n_encoded"),
-        comments.alias("head"),
+        said(lines_of(front)).alias("head"),
+        (code_at > 0).alias("has_code"),
+        F.when(F.size("lines") > 0, said(last)).otherwise(F.array().cast("array<string>")).alias("tail"),
     )
     return per_chunk.dropDuplicates(["chunk_seq"])
 
 
+def file_key(repo: str = "repo", file: str = "file") -> Column:
+    """16 bytes that stand for a file: 128 bits, so that two files don't share them."""
+    return F.unhex(F.md5(F.concat_ws("\0", repo, file)))
+
+
+def line_forms(chunks: DataFrame) -> DataFrame:
+    """fid, repo (a hash) and lines of each chunk with text: the hash of each line with numbers made one, and its count of letters and numbers."""
+    known = chunks.where(F.col("file").isNotNull() & F.col("repo").isNotNull() & F.col("text").isNotNull())
+    form = lambda x: F.struct(F.xxhash64(x).alias("form"), (F.length(x) - F.length(F.translate(x, string.ascii_letters + "9", ""))).alias("letters"))
+    lines = F.transform(lines_of(F.col("text")), lambda x: let(F.regexp_replace(F.trim(x), NUMBERS, "9"), form))
+    return staged(known.select(file_key().alias("fid"), F.xxhash64("repo").alias("repo"), lines.alias("lines")), "line-forms")
+
+
+def copied_shares(forms: DataFrame) -> DataFrame:
+    """fid and copied_share: the share of a file's runs of RUN_LINES lines (numbers and blanks aside) that also stand in another repository.
+
+    forms is what line_forms gives. A run is known by a hash; whether it stands in several repositories is a combinable aggregate, so no pairs of
+    files are made. The flags go back to the files by an equi-join on runs, whose hot keys (a licence that every file has) are told by a
+    broadcast of at most HOT_SHARE rows.
+    """
+    def run(i: Column) -> Column:
+        of = F.slice("lines", i + 1, RUN_LINES)
+        letters = F.aggregate(of, F.lit(0), lambda n, x: n + x["letters"])
+        return F.when(letters >= RUN_LETTERS, F.xxhash64(F.transform(of, lambda x: x["form"])))
+
+    runs = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size("lines") - RUN_LINES), run)))
+    runs = staged(forms.where(F.size("lines") >= RUN_LINES).select("fid", "repo", F.explode(runs).alias("run")), "line-runs")
+    shared = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("run", "n")
+    shared = staged(shared, "shared-runs")
+    often = F.col("n") * HOT_SHARE >= runs.count()
+    tagged = runs.select("fid", "run").join(F.broadcast(shared.where(often).select("run", F.lit(True).alias("hot"))), "run", "left")
+    rare = tagged.where("hot IS NULL").join(shared.where(~often).select("run"), "run", "left_semi")
+    copied = tagged.where("hot").select("fid").unionByName(rare.select("fid")).groupBy("fid").agg(F.count("*").alias("n_copied"))
+    return runs.groupBy("fid").agg(F.count("*").alias("n_runs")).join(copied, "fid").select("fid", (F.col("n_copied") / F.col("n_runs")).alias("copied_share"))
+
+
 def file_statistics(chunks: DataFrame) -> DataFrame:
-    """One row per (repo, file): sums over its chunks, shares, and the comment lines it begins with."""
+    """One row per (repo, file): sums over its chunks, shares, the comment lines it begins and ends with, and how much of it stands elsewhere.
+
+    The leading comments are those of the first chunk and of the first one with code, whole.
+    """
     sums = ["n_lines", "n_chars", "n_literal", "n_space", "n_alnum", "n_all", "n_encoded"]
+    order = F.struct("start_line", "chunk_seq")
+    none = F.array().cast("array<string>")
     files = chunk_statistics(chunks).groupBy("repo", "file").agg(
-        *[F.sum(c).alias(c) for c in sums], F.max("max_line").alias("max_line"), F.min_by("head", F.struct("start_line", "chunk_seq")).alias("head"), F.max("lang").alias("lang")
+        *[F.sum(c).alias(c) for c in sums],
+        F.max("max_line").alias("max_line"),
+        F.min_by(F.struct("has_code", "head"), order).alias("first"),
+        F.min_by(F.when(F.col("has_code"), F.col("head")), F.when(F.col("has_code"), order)).alias("before_code"),
+        F.max_by("tail", order).alias("tail"),
+        F.max("lang").alias("lang"),
     )
-    known = chunks.where(F.col("file").isNotNull() & F.col("repo").isNotNull() & F.col("text").isNotNull())
-    forms = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.regexp_replace(F.trim(x), NUMBERS, "9"))))
+    files = files.withColumn("head", F.when(F.col("first.has_code"), F.col("first.head")).otherwise(F.concat("first.head", F.coalesce("before_code", none))))
+    forms = line_forms(chunks)
     # equal lines of a file meet as (file, hash) and are combined on the map side: a file with a third of all chunks is no single group
-    different = known.select(F.xxhash64("repo", "file").alias("fid"), F.explode(forms).alias("form")).distinct().groupBy("fid").agg(F.count("*").alias("n_different"))
+    own = F.array_distinct(F.transform("lines", lambda x: x["form"]))
+    different = forms.select("fid", F.explode(own).alias("form")).distinct().groupBy("fid").agg(F.count("*").alias("n_different"))
     share = lambda c, n: F.coalesce(F.col(c) / F.when(F.col(n) > 0, F.col(n)), F.lit(0.0))
-    joined = files.withColumn("fid", F.xxhash64("repo", "file")).join(different, "fid", "left")
+    joined = files.withColumn("fid", file_key()).join(different, "fid", "left").join(copied_shares(forms), "fid", "left")
     return joined.select(
         "repo",
         "file",
         family_of(F.col("file"), F.col("lang")).alias("family"),
         "head",
+        "tail",
+        F.coalesce("copied_share", F.lit(0.0)).alias("copied_share"),
         "n_lines",
         "max_line",
         share("n_chars", "n_lines").alias("mean_line"),
@@ -105,9 +169,10 @@ def classified(chunks: DataFrame) -> DataFrame:
     """file_statistics and kind: minified, data, generated, third_party or hand_written, by the first that holds.
 
     minified: long lines almost without white space. data: most characters stand on lines of nothing but literals, or in encoded
-    runs. generated: the lines are few forms that differ in their numbers, or the first comment lines say so (as their own statement, not
-    within code or other words), or the name does. third_party: the folder is one for such copies, or the first comment lines
-    name a holder or origin that shares no word with the repository's name.
+    runs. generated: the lines are few forms that differ in their numbers, or the leading or last comment lines say so (as their own statement, not
+    within code or other words), or the name does. third_party: the same wording stands in another repository as well (COPIED of its runs of
+    lines); in support, for a copy that no other repository has, the folder is one for such copies, or the leading comment lines name a holder
+    or origin that shares no word with the repository's name. A copied file whose leading comments name its own repository is the original.
 
     Rows with a null repo or file name no file and are left out; a chunk delivered twice counts once, a null text as none; a file of
     null or empty texts is judged by its path alone. Empty input gives no rows.
@@ -120,12 +185,14 @@ def classified(chunks: DataFrame) -> DataFrame:
     data = some & ((F.col("literal_share") > limit("literal")) | encoded)
     says = lambda pattern: F.coalesce(F.exists("head", lambda x: x.rlike(pattern)), F.lit(False))
     repeats = (F.col("n_lines") >= LEAST_LINES) & (F.col("different_share") < limit("different"))
-    generated = (some & repeats) | says(GENERATED_HEAD) | F.col("file").rlike(GENERATED_NAMES)
+    ends = F.coalesce(F.exists("tail", lambda x: x.rlike(GENERATED_HEAD)), F.lit(False))
+    generated = (some & repeats) | says(GENERATED_HEAD) | ends | F.col("file").rlike(GENERATED_NAMES)
     path = F.translate("file", "\\", "/")
     holders = F.lower(F.array_join(F.filter("head", lambda x: x.rlike(HOLDER_HEAD)), " "))
     own = F.exists(F.filter(F.split(F.lower("repo"), r"[^a-z0-9]+"), lambda w: F.length(w) > 2), lambda w: F.contains(holders, w))
     foreign = (F.length(holders) > 0) & ~own
-    third_party = path.rlike(THIRD_PARTY_FOLDERS) | F.coalesce(foreign, F.lit(False))
+    copied = (F.col("copied_share") >= COPIED) & ~F.coalesce(own, F.lit(False))
+    third_party = copied | path.rlike(THIRD_PARTY_FOLDERS) | F.coalesce(foreign, F.lit(False))
     kind = F.when(data & (F.col("encoded_share") > limit("encoded")), "data").when(minified, "minified").when(data, "data").when(generated, "generated").when(third_party, "third_party")
     return stats.withColumn("kind", kind.otherwise("hand_written"))
 

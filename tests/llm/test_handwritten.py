@@ -57,3 +57,29 @@ def test_null_names_long_lines_and_empty_table(spark):
     rows = [(1, None, "a.py", None, 1, "x", "", "", ""), (2, "r", None, None, 1, "x", "", "", ""), (None, "r", "b.py", None, None, "x = [" + "1," * 200_000 + "]", "", "", "")]
     assert {r.file: r.kind for r in classified(spark.createDataFrame(rows, SCHEMA)).collect()} == {"b.py": "minified"}
     assert classified(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_copy_is_told_by_its_wording_alone(spark):
+    words = "anchor batch cursor digest entry frame handle index ledger probe quota record scope table".split()
+    body = [f"    {words[i % 14]}_{words[i * 5 % 13]} = {words[i * 3 % 11]}(self.{words[i * 7 % 14]}, {words[i // 14 % 14]}{i})" for i in range(90)]
+    changed = [b.replace("cursor", "token") if i % 23 == 0 else b for i, b in enumerate(body)]
+    other = [f"    {words[i * 9 % 14]}.{words[i * 11 % 13]}({words[i * 5 % 14]}, {words[i // 7 % 14]})" for i in range(90)]
+    head = ["# Copyright (c) 2024 the one authors"]
+    rows = [(1, "one", "src/a.py", "\n".join(body)), (2, "two", "lib/b.py", "\n".join(changed)), (3, "three", "src/c.py", "\n".join(other)), (4, "four-one", "src/own.py", "\n".join(head + body))]
+    df = spark.createDataFrame([(i, r, f, None, 1, t, "", "", "") for i, r, f, t in rows], SCHEMA)
+    assert {r.file: r.kind for r in classified(df).collect()} == {"src/a.py": "third_party", "lib/b.py": "third_party", "src/c.py": "hand_written", "src/own.py": "hand_written"}
+
+
+def test_heads_of_any_length_and_banners_at_the_end(spark):
+    licence = "\n".join(f" * line {i} of a licence" for i in range(40))
+    plain = "\n".join(f"line {i} of a licence" for i in range(15))
+    got = kinds(
+        spark,
+        ("src/long.cc", f"/*\n{licence}\n * Copyright (c) 2020 The Movq Contributors\n */\n" + HAND[HAND.index("int load") :]),
+        ("src/plain.cc", f"/*\n{plain}\nCopyright (c) 2020 The Movq Contributors\n*/\n" + HAND[HAND.index("int load") :]),
+        ("src/end.cc", HAND + "\n// Code generated by x v1.2. DO NOT EDIT.\n"),
+        ("src/late.cc", HAND + "\nint x() {\n  // Copyright (c) 2020 The Movq Contributors\n  return 1;\n}\n"),
+    )
+    assert got == {"src/long.cc": "third_party", "src/plain.cc": "third_party", "src/end.cc": "generated", "src/late.cc": "hand_written"}
+    rows = [(1, "r", "a.go", None, 1, "// a licence\n\n", "", "", ""), (2, "r", "a.go", None, 3, "// Code generated by y. DO NOT EDIT.\npackage a\n", "", "", "")]
+    assert {r.kind for r in classified(spark.createDataFrame(rows, SCHEMA)).collect()} == {"generated"}
