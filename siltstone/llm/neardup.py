@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import clean_path
@@ -17,6 +17,8 @@ from siltstone.session import staged
 
 #: A fingerprint has SEGMENTS segments of four 16-bit symbols; a segment is one bigint.
 SEGMENTS, SYMBOLS = 8, 4
+#: Classes that share a form beyond which the form is hot: its pairs are compared by blocks of so many, within the join.
+HOT_FORM = 1_000
 LANE = 0xFFFF
 
 WORD = re.compile(r"[a-z0-9_]+")
@@ -81,25 +83,38 @@ def fingerprinted(run: int, least_words: int):
     return each
 
 
-def agreeing(run: int, least: float):
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, frozenset] = {}
+def run_sets(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct (text, run) of all texts as sorted whole numbers text * n + run, where each text's begin, and n, the number of different runs."""
+    words: dict[str, int] = {}
+    cut = [[words.setdefault(w, len(words)) for w in WORD.findall(t.lower())] for t in texts]
+    counts = np.fromiter(map(len, cut), np.int64, len(cut))
+    flat = np.fromiter((w for ws in cut for w in ws), np.int64, int(counts.sum()))
+    ends = np.cumsum(counts)
+    code = flat
+    for k in range(1, run):
+        # numbers of the runs of k + 1 words: a run's number and the next word's, numbered anew
+        code = np.unique(code[: len(flat) - k] * max(1, len(words)) + flat[k:], return_inverse=True)[1] if len(flat) > k else np.zeros(0, np.int64)
+    whole = np.arange(len(code)) + run <= np.repeat(ends, counts)[: len(code)]
+    of = np.repeat(np.arange(len(cut)), counts)[: len(code)][whole]
+    n = int(code.max(initial=0)) + 1
+    keys = np.unique(of * n + code[whole])
+    return keys, np.searchsorted(keys, np.arange(len(cut) + 1) * n), n
 
-        def runs(text: str) -> frozenset:
-            if text not in known:
-                if len(known) > 20_000:
-                    known.clear()
-                w = WORD.findall(text.lower())
-                known[text] = frozenset(zip(*(w[k:] for k in range(run))))
-            return known[text]
 
+def agreeing(run: int, least: float):
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = []
-            for x, y in zip(frame["text_a"], frame["text_b"]):
-                a, b = runs(x), runs(y)
-                both = len(a & b)
-                keep.append(both >= least * (len(a) + len(b) - both))
-            yield frame.loc[keep, ["a", "b"]]
+            place, texts = pd.factorize(pd.concat([frame["text_a"], frame["text_b"]], ignore_index=True))
+            a, b = place[: len(frame)], place[len(frame) :]
+            keys, starts, n = run_sets(list(texts), run)
+            size = np.diff(starts)
+            # all runs of every a, looked up among those of its b
+            pair = np.repeat(np.arange(len(frame)), size[a])
+            within = np.arange(len(pair)) - np.repeat(np.cumsum(size[a]) - size[a], size[a])
+            wanted = keys[starts[a[pair]] + within] % n + b[pair] * n
+            found = np.searchsorted(keys, wanted)
+            both = np.bincount(pair, (found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == wanted), len(frame)) if len(keys) else np.zeros(len(frame))
+            yield frame.loc[both >= least * (size[a] + size[b] - both), ["a", "b"]]
 
     return each
 
@@ -117,7 +132,8 @@ class NearDuplicates:
     matches with probability 0.475, so one of eight does with 0.994; at 0.7 with 0.9998.
 
     Equal wordings form a class first and only its least id is compared, so a group of copies costs one row; the join is on 64-bit
-    keys, each of a small set of rows even where one place holds a third of all rows.
+    keys, each of a small set of rows even where one place holds a third of all rows. A form that boilerplate makes hot is
+    compared in blocks, see hot_pairs.
     """
 
     def __init__(self, records: DataFrame, run: int, least: float, least_words: int, far: int = 22) -> None:
@@ -138,15 +154,17 @@ class NearDuplicates:
             ]
         )
         probes = self.classes.select("class_id", F.explode(forms).alias("form"))
-        left, right = probes.withColumnRenamed("class_id", "a"), probes.withColumnRenamed("class_id", "b")
-        candidates = left.join(right, "form").where("a < b").select("a", "b").distinct()
-        code_a = self.classes.select(F.col("class_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in codes])
-        code_b = self.classes.select(F.col("class_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in codes])
+        # a form that only one class has is dropped where it is counted; the join finds its rows already in place
+        shared = probes.withColumn("n", F.count("*").over(Window.partitionBy("form"))).where("n > 1")
+        cold = shared.where(F.col("n") <= HOT_FORM)
+        candidates = cold.select(F.col("class_id").alias("a"), "form").join(cold.select(F.col("class_id").alias("b"), "form"), "form").where("a < b").select("a", "b").distinct()
+        code_of = lambda side: self.classes.select(F.col("class_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in codes])
         lanes = [
             F.when(F.shiftright(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")), 16 * k).bitwiseAND(F.lit(LANE)) != 0, 1).otherwise(0) for c in codes for k in range(SYMBOLS)
         ]
-        near = candidates.join(code_a, "a").join(code_b, "b").where(reduce(lambda x, y: x + y, lanes) <= far).select("a", "b")
-        self.near = staged(near, "near")
+        close = reduce(lambda x, y: x + y, lanes) <= far
+        near = candidates.join(code_of("a"), "a").join(code_of("b"), "b").where(close).select("a", "b")
+        self.near = staged(near.unionByName(self.hot_pairs(shared.where(F.col("n") > HOT_FORM), code_of, close)).distinct(), "near")
         texts = records.select("id", "text").dropDuplicates(["id"])
         touched = self.near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = texts.join(touched, "id", "left_semi")
@@ -154,6 +172,21 @@ class NearDuplicates:
         #: a, b: ids of classes that agree, a < b
         self.links = both.mapInPandas(agreeing(run, least), "a bigint, b bigint")
 
+    @staticmethod
+    def hot_pairs(hot: DataFrame, code_of: Callable[[str], DataFrame], close: Column) -> DataFrame:
+        """Near pairs (a, b) among the classes that share a hot form.
+
+        The classes of a form are dealt into blocks of about HOT_FORM, and every pair of blocks is a key of the join, so no task has more than
+        two of them; the complete distance is part of the join, so pairs that it rules out are never rows.
+        """
+        blocks = F.ceil(F.col("n") / HOT_FORM).cast("int")
+        own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
+        others = F.explode(F.sequence(F.lit(0), blocks - 1))
+        dealt = hot.select("class_id", "form", own.alias("own"), others.alias("other"))
+        left = dealt.select(F.col("class_id").alias("a"), "form", F.col("own").alias("i"), F.col("other").alias("j")).join(code_of("a"), "a")
+        right = dealt.select(F.col("class_id").alias("b"), "form", F.col("other").alias("i"), F.col("own").alias("j")).join(code_of("b"), "b")
+        return left.join(right, ["form", "i", "j"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
+
     def pairs(self) -> DataFrame:
         """All pairs (a, b), a < b, of rows that agree, those within a class included."""
         own = self.copies.select(F.col("class_id").alias("id"), "class_id").distinct()

@@ -71,3 +71,27 @@ def test_nulls_short_long_and_repeated_rows(spark):
 def test_empty_table(spark):
     assert pairs(spark, []) == set()
     assert finding_duplicates(spark.createDataFrame([], SCHEMA)).membership().count() == 0
+
+
+def test_hot_forms_give_the_same_pairs(spark, monkeypatch):
+    from siltstone.llm import neardup
+
+    rng = random.Random(11)
+    rows = make(rng) + [(1000 + i, "src/a.c", None, t, "x", "y") for i, t in enumerate(texts(rng, 60, 8))]
+    usual = pairs(spark, rows)
+    monkeypatch.setattr(neardup, "HOT_FORM", 3)
+    assert pairs(spark, rows) == usual and len(usual & brute(rows)) >= 0.97 * len(brute(rows)) and usual <= brute(rows)
+
+
+def test_run_sets_are_exact():
+    from siltstone.llm.neardup import run_sets
+
+    rng = random.Random(2)
+    for run in (1, 3, 5):
+        some = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["", "a"]
+        keys, starts, n = run_sets(some, run)
+        words = [t.split() for t in some]
+        sets = [set(zip(*(w[k:] for k in range(run)))) for w in words]
+        assert [b - a for a, b in zip(starts, starts[1:])] == [len(x) for x in sets]
+        own = [set((keys[a:b] % n).tolist()) for a, b in zip(starts, starts[1:])]
+        assert all(len(own[i] & own[j]) == len(sets[i] & sets[j]) for i in range(42) for j in range(42))
