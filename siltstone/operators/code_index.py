@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.review import source_language
+from siltstone.operators.syntax import calls_of, symbols_of
 
 MAX_REFERENCES = 50
 
@@ -37,19 +36,26 @@ def in_language(chunks: DataFrame, file: str | None, lang: str) -> DataFrame:
     return chunks.withColumn("_lang", F.col(lang) if file is None else source_language(F.col(file), F.col(lang)))
 
 
+#: Where a statement that imports names lists them, by language (group 1), and a renaming in such a list: the name, maybe within a module, and the new one.
+IMPORT_LISTS = {"script": r"\bimport\b([^;'\"]*)['\"]", "python": r"(?m)^[ \t]*(?:from[ \t]+[\w.]+[ \t]+)?import[ \t]+([^\n#;]*)"}
+RENAMED = r"([\w$.]+)\s+as\s+([\w$]+)"
+#: A Go import under a name of its own.
+GO_IMPORT = r"(?m)^[ \t]*(?:import[ \t]+)?([A-Za-z_]\w*)[ \t]+\"([^\"\s]+/[A-Za-z_]\w*)\""
+SCRIPTS = ["typescript", "tsx", "javascript"]
+
+
 def import_aliases(chunks: DataFrame, keys: list[str], lang: str = "lang", text: str = "text", file: str | None = "file") -> DataFrame:
-    """keys, alias and original of renaming imports of TypeScript, JavaScript, Python and Go; those that keep the name are left out."""
+    """keys, alias and original of renaming imports of TypeScript, JavaScript, Python and Go; those that keep the name are left out.
+
+    One pass: each text gives its pairs as one array. Of a dotted name or a path the last part is the original.
+    """
     rows = in_language(chunks.where(F.col(text).isNotNull()), file, lang)
-    pairs = lambda df, pattern: df.select(*keys, F.explode(F.arrays_zip(F.regexp_extract_all("part", F.lit(pattern), 1).alias("original"), F.regexp_extract_all("part", F.lit(pattern), 2).alias("alias"))).alias("x")).select(*keys, "x.alias", "x.original")
-    parts = lambda langs, pattern: rows.where(F.col("_lang").isin(langs)).select(*keys, F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("list")).select(*keys, F.explode(F.split("list", ",")).alias("part"))
-    first = lambda df, pattern: df.select(*keys, F.regexp_extract("part", pattern, 2).alias("alias"), F.regexp_extract("part", pattern, 1).alias("original"))
-    scripts = first(parts(["typescript", "tsx", "javascript"], r"import\s+(?:type\s+)?\{([^}]*)\}\s+from"), r"([A-Za-z_$][\w$]*)\s+as\s+([A-Za-z_$][\w$]*)")
-    named = first(parts(["python"], r"from\s+[\w.]+\s+import\s+([^\n#]+)"), r"([A-Za-z_]\w*)\s+as\s+([A-Za-z_]\w*)")
-    whole = rows.where(F.col("_lang") == "python").withColumn("part", F.col(text))
-    modules = pairs(whole, r"(?m)^\s*import\s+(?:\w+\.)*(\w+)\s+as\s+([A-Za-z_]\w*)")
-    go = pairs(rows.where(F.col("_lang") == "go").withColumn("part", F.col(text)), r'(?m)^\s*([A-Za-z_]\w*)\s+"[^"\n]+/([A-Za-z_]\w*)"').select(*keys, F.col("original").alias("alias"), F.col("alias").alias("original"))
-    union = scripts.unionByName(named).unionByName(modules).unionByName(go)
-    return union.where((F.col("alias") != "") & (F.col("original") != "") & (F.col("alias") != F.col("original"))).distinct()
+    within = lambda pattern: F.array_join(F.regexp_extract_all(text, F.lit(pattern), 1), "\n,")
+    lists = F.when(F.col("_lang").isin(SCRIPTS), within(IMPORT_LISTS["script"])).when(F.col("_lang") == "python", within(IMPORT_LISTS["python"]))
+    zipped = lambda source, pattern, name, alias: F.arrays_zip(F.regexp_extract_all(source, F.lit(pattern), name).alias("original"), F.regexp_extract_all(source, F.lit(pattern), alias).alias("alias"))
+    pairs = F.when(F.col("_lang") == "go", zipped(text, GO_IMPORT, 2, 1)).otherwise(zipped(lists, RENAMED, 1, 2))
+    found = rows.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.alias", F.substring_index(F.substring_index("x.original", "/", -1), ".", -1).alias("original"))
+    return found.where((F.col("original") != "") & (F.col("alias") != F.col("original"))).distinct()
 
 
 #: How a variable gets its type, by language: the groups are (variable, type) or, for C++, (type, variable).
@@ -76,6 +82,11 @@ def type_bindings(chunks: DataFrame, keys: list[str], lang: str = "lang", text:
     return out
 
 
+def first_symbols(symbols: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
+    """The first `most` symbols (seq, start_line) of each review in order of line, with their place from 1: what a prompt has room for."""
+    return symbols.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("start_line", "seq")).cast("long")).where(F.col("place") <= most)
+
+
 def changed_symbol_context(changed: DataFrame, files: DataFrame, sites: DataFrame, scope: list[str], order: list[str], callers: int = 5, body: int = 1200) -> DataFrame:
     """Each changed symbol (scope, file, name, kind, start_line, end_line) with its body, cut at `body` characters, and its first `callers` call sites as file:line."""
     first = references(sites, [*scope, "callee"], order, callers)
@@ -113,21 +124,33 @@ def find_references(sites: DataFrame, qualified: DataFrame, name: str, order: li
     return both.where(F.col("tier") == F.col("best")).select("file", "line")
 
 
-def resolved(requests: DataFrame, symbols: DataFrame, scope: list[str]) -> DataFrame:
-    """The definitions that qualifier.name can mean: those enclosed by a definition of the qualifier; if none, those in a file that
-    has one; if none, all of the name.
+def resolved_near(requests: DataFrame, symbols: DataFrame, scope: list[str]) -> DataFrame:
+    """The definitions that qualifier.name means most nearly: those enclosed by a definition of the qualifier (tier 0); if none, those in a file that has one
+    (tier 1); a request with neither gets one row of tier 2 without a seq, for it can mean every definition of its name.
 
-    requests has scope, qualifier and name; symbols has seq, scope, file, name, start_line and end_line. A request's tiers are counted over its own
-    definitions. Returns scope, qualifier, name, seq and tier (0, 1, 2).
+    requests has scope, qualifier and name; symbols has seq, scope, file, name, start_line and end_line. Requests meet the definitions of
+    their qualifier first, and then only the names within those files, so a name that everything defines costs no more than its
+    own files. Returns scope, qualifier, name, seq and tier.
     """
-    methods = requests.distinct().join(symbols.select("seq", *scope, "file", "name", "start_line", "end_line"), [*scope, "name"])
+    asked = requests.distinct()
     types = symbols.select(*scope, "file", F.col("name").alias("qualifier"), F.col("start_line").alias("t_start"), F.col("end_line").alias("t_end"))
-    around = methods.join(types, [*scope, "file", "qualifier"], "left")
-    inside = (F.col("start_line") >= F.col("t_start")) & (F.col("end_line") <= F.col("t_end"))
-    tier = F.min(F.when(F.coalesce(inside, F.lit(False)), 0).when(F.col("t_start").isNotNull(), 1).otherwise(2))
-    tiers = around.groupBy(*scope, "qualifier", "name", "seq").agg(tier.alias("tier"))
+    methods = symbols.select("seq", *scope, "file", "name", "start_line", "end_line")
+    around = asked.join(types, [*scope, "qualifier"]).join(methods, [*scope, "file", "name"])
+    inside = F.coalesce((F.col("start_line") >= F.col("t_start")) & (F.col("end_line") <= F.col("t_end")), F.lit(False))
+    tiers = around.groupBy(*scope, "qualifier", "name", "seq").agg(F.min(F.when(inside, 0).otherwise(1)).alias("tier"))
     best = tiers.groupBy(*scope, "qualifier", "name").agg(F.min("tier").alias("best"))
-    return tiers.join(best, [*scope, "qualifier", "name"]).where(F.col("tier") == F.col("best")).drop("best")
+    known = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*scope, "qualifier", "name")]
+    named = best.select(*[F.col(c).alias(f"_{c}") for c in (*scope, "qualifier", "name")], "best")
+    near = tiers.join(named, known).where(F.col("tier") == F.col("best")).select(*scope, "qualifier", "name", "seq", "tier")
+    rest = asked.join(best.select(*scope, "qualifier", "name"), [*scope, "qualifier", "name"], "left_anti")
+    return near.unionByName(rest.select(*scope, "qualifier", "name", F.lit(None).cast(symbols.schema["seq"].dataType).alias("seq"), F.lit(2).alias("tier")))
+
+
+def resolved(requests: DataFrame, symbols: DataFrame, scope: list[str]) -> DataFrame:
+    """resolved_near with every definition of the name in the place of the rows of tier 2: as many rows as requests times definitions, where a caller wants that."""
+    near = resolved_near(requests, symbols, scope)
+    every = near.where("tier = 2").drop("seq").join(symbols.select("seq", *scope, "name"), [*scope, "name"])
+    return near.where("tier < 2").unionByName(every.select(*near.columns))
 
 
 def overlapping_symbols(symbols: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,40 +166,25 @@ def near_changes(signals: DataFrame, changed: DataFrame, keys: list[str], window
     return signals.join(around, [*keys, "line"], "left_semi")
 
 
-#: Heads of types and of functions in C-like code.
-TYPE = re.compile(r"\b(namespace|class|struct|union|enum(?:\s+class|\s+struct)?)\s+([A-Za-z_]\w*)[^;{}]*\{")
-FUNCTION = re.compile(r"([A-Za-z_~]\w*)\s*\([^;{}()]*\)\s*(?:const\s*)?(?:noexcept[^;{}]*)?(?:override\s*)?(?:final\s*)?(?:->\s*[^;{}]+)?\{")
-NOT_CODE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)", re.S)
-
-
-def c_symbols(text: str) -> list[tuple[str, str, int, int]]:
-    """Name, kind, first and last line of the types and functions of C-like code: a head with a brace, lines from that brace to its match."""
-    code = NOT_CODE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    feeds = [m.start() for m in re.finditer("\n", code)]
-    closes: dict[int, int] = {}
-    opened: list[int] = []
-    for m in re.finditer(r"[{}]", code):
-        if m.group() == "{":
-            opened.append(m.start())
-        elif opened:
-            closes[opened.pop()] = m.start()
-    kinds = {"enum": "enum", "namespace": "namespace", "class": "class", "struct": "struct", "union": "struct"}
-    heads = [(m.group(2), kinds[m.group(1).split()[0]], m.end() - 1) for m in TYPE.finditer(code)]
-    heads += [(m.group(1), "function", m.end() - 1) for m in FUNCTION.finditer(code) if m.group(1) not in KEYWORDS]
-    found = {}
-    for name, kind, brace in heads:
-        place = (name, bisect_right(feeds, brace) + 1, bisect_right(feeds, closes.get(brace, len(code) - 1)) + 1)
-        found.setdefault(place, kind)
-    return sorted(((name, kind, first, last) for (name, first, last), kind in found.items()), key=lambda s: s[2])
-
-
-def extracted_symbols(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, name, kind, start_line and end_line of the symbols of C-like files."""
+def scanned(files: DataFrame, keys: list[str], of: Callable, kinds: str, text: str, lang: str) -> DataFrame:
+    """What `of` (a function of a text and its language that gives tuples) finds in each file: keys and the columns of kinds."""
+    names = [k.split()[0] for k in kinds.split(", ")]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, *s) for k, t in zip(frame.iloc[:, 0], frame.iloc[:, 1]) for s in c_symbols(t)]
-            yield pd.DataFrame(rows, columns=[key, "name", "kind", "start_line", "end_line"])
+            found = [of(t, x) for t, x in zip(frame["_text"], frame["_lang"])]
+            rows = [(*k, *r) for k, f in zip(zip(*[frame[c] for c in keys]), found) for r in f]
+            yield pd.DataFrame(rows, columns=[*keys, *names])
+
+    own = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+    return files.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInPandas(each, f"{own}, {kinds}")
+
+
+def extracted_symbols(files: DataFrame, keys: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """keys, name, kind, start_line and end_line of the functions, methods and types of files in any language of LANGUAGES; lang is its name there."""
+    return scanned(files, keys, symbols_of, "name string, kind string, start_line int, end_line int", text, lang)
+
 
-    kind = files.schema[key].dataType.simpleString()
-    return files.where(F.col(text).isNotNull()).select(key, text).mapInPandas(each, f"{key} {kind}, name string, kind string, start_line int, end_line int")
+def scanned_calls(files: DataFrame, keys: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """keys, line (within the text), receiver and callee of the calls outside comments and strings."""
+    return scanned(files, keys, calls_of, "line int, receiver string, callee string", text, lang)

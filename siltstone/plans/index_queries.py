@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.review import LANGUAGE_NAMES
+from siltstone.functions.review import LANGUAGE_NAMES, source_language
 from siltstone.operators import code_index as ci
 from siltstone.operators import retrieval as rt
 from siltstone.operators import state as st
@@ -72,16 +72,18 @@ def qualifiers_for_by_file(spark: SparkSession, folder: str) -> DataFrame:
     return _qualifiers(spark, folder, "file")
 
 
-ALIASES = r"""al AS (SELECT DISTINCT repo, file, alias, original FROM (
-  SELECT repo, file, regexp_extract(p, '([A-Za-z_$][\w$]*)\s+as\s+([A-Za-z_$][\w$]*)', 2) AS alias, regexp_extract(p, '([A-Za-z_$][\w$]*)\s+as\s+([A-Za-z_$][\w$]*)', 1) AS original FROM (
-    SELECT repo, file, unnest(string_split(l, ',')) AS p FROM (SELECT repo, file, unnest(regexp_extract_all(text, 'import\s+(?:type\s+)?\{([^}]*)\}\s+from', 1)) AS l FROM k WHERE lang IN ('typescript', 'tsx', 'javascript')))
-  UNION ALL SELECT repo, file, regexp_extract(p, '([A-Za-z_]\w*)\s+as\s+([A-Za-z_]\w*)', 2), regexp_extract(p, '([A-Za-z_]\w*)\s+as\s+([A-Za-z_]\w*)', 1) FROM (
-    SELECT repo, file, unnest(string_split(l, ',')) AS p FROM (SELECT repo, file, unnest(regexp_extract_all(text, 'from\s+[\w.]+\s+import\s+([^\n#]+)', 1)) AS l FROM k WHERE lang = 'python'))
-  UNION ALL SELECT repo, file, unnest(regexp_extract_all(text, '(?m)^\s*import\s+(?:\w+\.)*(\w+)\s+as\s+([A-Za-z_]\w*)', 2)), unnest(regexp_extract_all(text, '(?m)^\s*import\s+(?:\w+\.)*(\w+)\s+as\s+([A-Za-z_]\w*)', 1)) FROM k WHERE lang = 'python'
-  UNION ALL SELECT repo, file, unnest(regexp_extract_all(text, '(?m)^\s*([A-Za-z_]\w*)\s+"[^"\n]+/([A-Za-z_]\w*)"', 1)), unnest(regexp_extract_all(text, '(?m)^\s*([A-Za-z_]\w*)\s+"[^"\n]+/([A-Za-z_]\w*)"', 2)) FROM k WHERE lang = 'go')
-  WHERE alias <> '' AND original <> '' AND alias <> original)"""
+def _aliases_sql() -> str:
+    listed = lambda pattern, langs: f"SELECT repo, file, unnest(regexp_extract_all(text, '{pattern}', 1)) AS l FROM k WHERE lang IN ({langs})"
+    script, python = (ci.IMPORT_LISTS[n].replace("'", "''") for n in ("script", "python"))
+    langs = ", ".join(f"'{x}'" for x in ci.SCRIPTS)
+    return rf"""al AS (SELECT DISTINCT repo, file, alias, regexp_extract(o, '([^/.]*)$', 1) AS original FROM (
+  SELECT repo, file, unnest(regexp_extract_all(l, '{ci.RENAMED}', 1)) AS o, unnest(regexp_extract_all(l, '{ci.RENAMED}', 2)) AS alias FROM ({listed(script, langs)} UNION ALL {listed(python, "'python'")})
+  UNION ALL SELECT repo, file, unnest(regexp_extract_all(text, '{ci.GO_IMPORT}', 2)), unnest(regexp_extract_all(text, '{ci.GO_IMPORT}', 1)) FROM k WHERE lang = 'go')
+  WHERE regexp_extract(o, '([^/.]*)$', 1) <> '' AND alias <> regexp_extract(o, '([^/.]*)$', 1))"""
 
 
+ALIASES = _aliases_sql()
+
 
 def _bindings_sql() -> str:
     each = []
@@ -153,13 +155,18 @@ SELECT s.seq, md5(substring(array_to_string(string_split(k.text, chr(10))[1:grea
 FROM s JOIN k ON k.chunk_seq = s.seq LEFT JOIN fc ON fc.repo = s.repo AND fc.callee = s.name"""
 
 
-def resolve_qualified(spark: SparkSession, folder: str) -> DataFrame:
-    """What every qualified call, and every symbol name qualified by each class of its file, can mean."""
+def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every qualified call, and every symbol name qualified by each class of its file."""
     symbols = views.symbols(spark, folder)
     called = _sites(spark, folder).where("receiver IS NOT NULL").select("repo", F.col("receiver").alias("qualifier"), F.col("callee").alias("name"))
     classes = symbols.where("kind = 'class'").select("repo", "file", F.col("name").alias("qualifier"))
     named = symbols.where("kind <> 'class'").select("repo", "file", "name").join(classes, ["repo", "file"]).select("repo", "qualifier", "name")
-    return ci.resolved(called.unionByName(named), symbols, ["repo"]).select("repo", "qualifier", "name", "seq", "tier")
+    return called.unionByName(named)
+
+
+def resolve_qualified(spark: SparkSession, folder: str) -> DataFrame:
+    """What every qualified call, and every symbol name qualified by each class of its file, can mean."""
+    return ci.resolved(_requests(spark, folder), views.symbols(spark, folder), ["repo"]).select("repo", "qualifier", "name", "seq", "tier")
 
 
 RESOLVE_SQL = with_views("k", "s", more=SITES) + """,
@@ -170,10 +177,40 @@ t AS (SELECT rq.repo, qualifier, rq.name, d.seq, min(CASE WHEN t.seq IS NULL THE
 SELECT repo, qualifier, name, seq, tier FROM (SELECT *, min(tier) OVER (PARTITION BY repo, qualifier, name) AS best FROM t) WHERE tier = best"""
 
 
+RESOLVE_NEAR_SQL = RESOLVE_SQL[: RESOLVE_SQL.rindex("SELECT repo, qualifier")] + """SELECT repo, qualifier, name, seq, tier FROM (SELECT *, min(tier) OVER (PARTITION BY repo, qualifier, name) AS best FROM t) WHERE tier = best AND tier < 2
+UNION ALL SELECT rq.repo, rq.qualifier, rq.name, NULL, 2 FROM rq WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.repo = rq.repo AND t.qualifier = rq.qualifier AND t.name = rq.name AND tier < 2)"""
+
+
+def resolve_qualified_near(spark: SparkSession, folder: str) -> DataFrame:
+    """resolve_qualified, where what can mean any definition of its name is one row."""
+    return ci.resolved_near(_requests(spark, folder), views.symbols(spark, folder), ["repo"]).select("repo", "qualifier", "name", "seq", "tier")
+
+
+def _known_language(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """Chunks as delivered, with the language that the scanner knows them by."""
+    return views.raw_chunks(spark, folder).select("chunk_seq", *more, "text", source_language(F.col("file"), F.col("lang")).alias("lang"))
+
+
 def extract_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    """Types and functions of C-like chunks by their heads and braces."""
-    c = views.raw_chunks(spark, folder).where(F.col("file").rlike(r"\.(c|cc|cpp|h|hpp)$"))
-    return ci.extracted_symbols(c.select("chunk_seq", "text"), "chunk_seq").distinct()
+    """Functions, methods and types of every chunk, in every language; lines count within the chunk."""
+    return ci.extracted_symbols(_known_language(spark, folder), ["chunk_seq"]).distinct()
+
+
+def extract_symbols_named(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of one symbol in which the scanner finds that symbol, in the languages whose functions stand by themselves (Java's and Go's methods and
+    what JavaScript exports by assignment have other names here, or none)."""
+    own = _known_language(spark, folder, "symbol", "file").where("symbol IS NOT NULL AND symbol <> '<file>'").where(F.col("file").rlike(ALONE))
+    found = ci.extracted_symbols(own, ["chunk_seq", "symbol"])
+    return found.where(F.element_at(F.split("name", "::"), -1) == F.col("symbol")).select("chunk_seq", "symbol").distinct()
+
+
+ALONE = r"\.(py|ts|c|cc|cpp|h|hpp)$"
+NAMED_SQL = rf"SELECT DISTINCT chunk_seq, symbol FROM code_chunks WHERE symbol IS NOT NULL AND symbol <> '<file>' AND text IS NOT NULL AND regexp_matches(file, '{ALONE}')"
+
+
+def calls_in_code(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls outside comments and strings in every chunk, by the scanner; call_sites goes by their look alone."""
+    return ci.scanned_calls(_known_language(spark, folder), ["chunk_seq"]).groupBy("chunk_seq", "line", "receiver", "callee").agg(F.lit(1).alias("here")).drop("here")
 
 
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,38 +276,44 @@ EXEMPLARS_SQL = with_views("f", more=MEMORY) + """SELECT category, id, place FRO
 
 
 def keyword_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Memory recalled by the note of every label whose number is divisible by 50, within its category."""
-    queries = views.labels(spark, folder).where("note IS NOT NULL AND gt_seq % 50 = 0").select(F.col("gt_seq").alias("query_id"), "category", F.col("note").alias("query"))
+    """Memory recalled by the title of every finding whose number is divisible by 50, within its category."""
+    f = views.findings(spark, folder).where("seq % 50 = 0")
+    queries = f.select(F.col("seq").alias("query_id"), "category", F.col("title").alias("query"))
     memory = st.merged_memory(_memory(spark, folder)).select("id", "seq", "category", "title", "text")
     return rt.keyword_recall(queries, memory).select("query_id", "id", "score", F.col("place").cast("long").alias("place"))
 
 
-RECALL_SQL = with_views("f", "g", more=MEMORY) + r""", q AS (SELECT gt_seq AS query_id, category, list_filter(string_split_regex(lower(note), '[^a-zA-Z0-9_]+'), lambda t: length(t) > 3) AS terms FROM g WHERE note IS NOT NULL AND gt_seq % 50 = 0),
+RECALL_SQL = with_views("f", more=MEMORY) + r""", q AS (SELECT seq AS query_id, category, list_filter(string_split_regex(lower(title), '[^a-zA-Z0-9_]+'), lambda t: length(t) > 3) AS terms FROM f WHERE seq % 50 = 0),
 z AS (SELECT q.query_id, mm.id, mm.seq, len(list_filter(q.terms, lambda t: contains(lower(mm.title || ' ' || mm.text), t))) AS score FROM q JOIN mm USING (category)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS place FROM z WHERE score > 0)
 SELECT query_id, id, score, place FROM r WHERE place <= 3"""
 
 
+def _indexed_before(c: DataFrame) -> DataFrame:
+    """The chunks of a former index: methods weren't chunked yet, and every chunk whose seq is divisible by 7 has since been edited to a text of equal length."""
+    edited = F.when(F.col("chunk_seq") % 7 == 0, F.sha1(F.concat("digest", F.lit("*")))).otherwise(F.col("digest"))
+    return c.where("kind <> 'method'").withColumn("digest", edited)
+
+
 def index_freshness(spark: SparkSession, folder: str) -> DataFrame:
-    """Files against an index that was built before methods were chunked."""
-    c = views.chunk_lengths(spark, folder)
-    digest = F.concat(F.count("*").cast("string"), F.lit(":"), F.sum("n").cast("string")).alias("hash")
-    return st.freshness(c.groupBy("repo", "file").agg(digest), c.where("kind <> 'method'").groupBy("repo", "file").agg(digest), ["repo", "file"])
+    """Files against a former index, by the content of their chunks."""
+    c = views.chunk_digests(spark, folder)
+    return st.freshness(st.content_hashes(c, ["repo", "file"]), st.content_hashes(_indexed_before(c), ["repo", "file"]), ["repo", "file"])
 
 
-FRESH = """nw AS (SELECT repo, file, count(*)::VARCHAR || ':' || sum(length(text))::BIGINT::VARCHAR AS hash FROM k GROUP BY ALL), od AS (SELECT repo, file, count(*)::VARCHAR || ':' || sum(length(text))::BIGINT::VARCHAR AS hash FROM k WHERE kind <> 'method' GROUP BY ALL),
+FRESH = """dg AS (SELECT repo, file, kind, chunk_seq, sha1(coalesce(text, '')) AS d FROM k),
+nw AS (SELECT repo, file, string_agg(d, ',' ORDER BY chunk_seq) AS hash FROM dg GROUP BY ALL), od AS (SELECT repo, file, string_agg(CASE WHEN chunk_seq % 7 = 0 THEN sha1(d || '*') ELSE d END, ',' ORDER BY chunk_seq) AS hash FROM dg WHERE kind <> 'method' GROUP BY ALL),
 fr AS (SELECT coalesce(nw.repo, od.repo) AS repo, coalesce(nw.file, od.file) AS file, CASE WHEN nw.file IS NULL THEN 'gone' WHEN od.file IS NOT NULL AND nw.hash IS NOT DISTINCT FROM od.hash THEN 'unchanged' ELSE 'stale' END AS state FROM nw FULL JOIN od ON nw.repo = od.repo AND nw.file = od.file)"""
 FRESH_SQL = with_views("k", more=FRESH) + "SELECT repo, file, state FROM fr"
 
 
 def index_reuse(spark: SparkSession, folder: str) -> DataFrame:
     """The chunks of the next index against the same former one."""
-    c = views.chunk_lengths(spark, folder)
-    digest = F.concat(F.count("*").cast("string"), F.lit(":"), F.sum("n").cast("string")).alias("hash")
-    old = c.where("kind <> 'method'")
+    c = views.chunk_digests(spark, folder)
+    old = _indexed_before(c)
     keys = ["repo", "file"]
     vectors = table(spark, folder, "vectors").where("vector IS NOT NULL")
-    return st.refreshed_chunks(c.groupBy(*keys).agg(digest), old.select(*keys, "id"), c.select(*keys, "id"), old.groupBy(*keys).agg(digest), vectors, keys)
+    return st.refreshed_chunks(st.content_hashes(c, keys), old.select(*keys, "id"), c.select(*keys, "id"), st.content_hashes(old, keys), vectors, keys)
 
 
 REUSE_SQL = with_views("k", more=FRESH) + """, v AS (SELECT DISTINCT id FROM vectors WHERE vector IS NOT NULL),
@@ -339,12 +382,12 @@ LAYERS_SQL = with_views("f") + "SELECT category AS dimension, case_id, count(*)
 QUERIES = {
     f.__name__: f
     for f in (
-        call_sites, find_definition, find_references_capped, qualifiers_for, qualifiers_for_by_file, import_aliases, import_aliases_by_file, type_bindings, type_bindings_by_file, changed_context, resolve_qualified, extract_symbols, vector_topk, memory_merge, feedback_upsert, repo_profile, exemplars,
+        call_sites, find_definition, find_references_capped, qualifiers_for, qualifiers_for_by_file, import_aliases, import_aliases_by_file, type_bindings, type_bindings_by_file, changed_context, resolve_qualified, resolve_qualified_near, extract_symbols, extract_symbols_named, calls_in_code, vector_topk, memory_merge, feedback_upsert, repo_profile, exemplars,
         keyword_recall, index_freshness, index_reuse, review_mode, record_reviewed, fix_commit_pick, graph_layers,
     )
 }
 ORACLES = {
-    "call_sites": CALLS_SQL, "find_definition": DEFINITION_SQL, "find_references_capped": REFERENCES_SQL, "qualifiers_for": QUALIFIERS_SQL, "import_aliases": ALIASES_SQL, "type_bindings": BINDINGS_SQL, "qualifiers_for_by_file": _by_file_sql(QUALIFIERS_SQL), "import_aliases_by_file": _by_file_sql(ALIASES_SQL), "type_bindings_by_file": _by_file_sql(BINDINGS_SQL), "changed_context": CONTEXT_SQL, "resolve_qualified": RESOLVE_SQL,
+    "call_sites": CALLS_SQL, "find_definition": DEFINITION_SQL, "find_references_capped": REFERENCES_SQL, "qualifiers_for": QUALIFIERS_SQL, "import_aliases": ALIASES_SQL, "type_bindings": BINDINGS_SQL, "qualifiers_for_by_file": _by_file_sql(QUALIFIERS_SQL), "import_aliases_by_file": _by_file_sql(ALIASES_SQL), "type_bindings_by_file": _by_file_sql(BINDINGS_SQL), "changed_context": CONTEXT_SQL, "resolve_qualified": RESOLVE_SQL, "resolve_qualified_near": RESOLVE_NEAR_SQL, "extract_symbols_named": NAMED_SQL,
     "vector_topk": TOPK_SQL, "memory_merge": MERGE_SQL, "feedback_upsert": FEEDBACK_SQL, "repo_profile": PROFILE_SQL, "exemplars": EXEMPLARS_SQL, "keyword_recall": RECALL_SQL, "index_freshness": FRESH_SQL,
     "index_reuse": REUSE_SQL, "review_mode": MODE_SQL, "record_reviewed": RECORD_SQL, "fix_commit_pick": FIX_SQL, "graph_layers": LAYERS_SQL,
 }

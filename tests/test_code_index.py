@@ -1,4 +1,5 @@
 from siltstone.operators import code_index as ci
+from siltstone.operators.syntax import calls_of, symbols_of
 
 CPP = """namespace demo {
 // class Ghost { int f() { return 1; } };
@@ -16,11 +17,11 @@ enum class Mode { a, b };
 
 
 def test_symbols_of_c_like_code(spark):
-    got = {(s[0], s[1]): (s[2], s[3]) for s in ci.c_symbols(CPP)}
+    got = {(s[0], s[1]): (s[2], s[3]) for s in symbols_of(CPP, "cpp")}
     assert got[("demo", "namespace")] == (1, 12) and got[("Buffer", "class")] == (3, 7) and got[("size", "function")] == (5, 5) and got[("clear", "function")] == (8, 10) and got[("Mode", "enum")] == (11, 11)
     assert not {"Ghost", "if"} & {name for name, _ in got}
-    df = spark.createDataFrame([(1, CPP), (2, None), (3, ""), (4, "{" * 50)], "seq int, text string")
-    assert ci.extracted_symbols(df, "seq").where("seq = 1").count() == 5
+    df = spark.createDataFrame([(1, CPP, "cpp"), (2, None, "cpp"), (3, "", "cpp"), (4, "{" * 50_000, "cpp"), (5, CPP, None), (6, CPP, "cobol")], "seq int, text string, lang string")
+    assert ci.extracted_symbols(df, ["seq"]).count() == 5 == ci.extracted_symbols(df, ["seq"]).where("seq = 1").count()
 
 
 def test_calls_aliases_and_qualifiers(spark):
@@ -72,3 +73,25 @@ def test_band_join(spark):
     assert {(r.file, r.line) for r in ci.near_changes(signals, changed, ["file"]).collect()} == {("f", 13)}
     symbols = spark.createDataFrame([("f", 1, 10), ("f", 11, 12)], "file string, start_line int, end_line int")
     assert ci.overlapping_symbols(symbols, changed, ["file"]).count() == 1
+
+
+def names(text, lang):
+    return {(s.name, s.kind) for s in symbols_of(text, lang)}
+
+
+def test_symbols_of_every_language():
+    assert names("namespace d { class C { void m(){} }; int fn(){return 0;} }", "cpp") == {("d", "namespace"), ("C", "class"), ("m", "function"), ("fn", "function")}
+    assert names("class Foo:\n    def bar(self): pass\ndef baz(): return 1", "python") == {("Foo", "class"), ("bar", "function"), ("baz", "function")}
+    assert names("export function App(){return null}\nconst h = () => {}\nclass C { m(){} }", "tsx") == {("App", "function"), ("h", "function"), ("C", "class"), ("m", "method")}
+    assert names("func Hello() int {return 1}\ntype T struct{}\nfunc (s *T) Run() { go f() }\ntype (\n A int\n B struct { x int }\n)\n", "go") == {("Hello", "function"), ("T", "struct"), ("Run", "method"), ("A", "struct"), ("B", "struct")}
+    assert names("fn main(){}\nstruct S{}\nstruct U;\nmod a { pub fn q<'a>(x: &'a str) -> i32 { 1 } }\ntrait Tr { fn sig(&self); }", "rust") == {("main", "function"), ("S", "struct"), ("U", "struct"), ("a", "namespace"), ("q", "function"), ("Tr", "class")}
+    assert names("@S\npublic class A<T> extends B {\n A() {}\n @O public int f(int x) throws E { return new C() { void q() {} }.r(); }\n abstract void h();\n}", "java") == {("A", "class"), ("f", "method"), ("q", "method"), ("h", "method")}
+    assert symbols_of("def a():\n    x = 1\n\n    return (\n1)\n\nclass B: pass\n", "python") == [("a", "function", 1, 5), ("B", "class", 7, 7)]
+    assert symbols_of("int f() {\n  return 1;\n", "c") == [("f", "function", 1, 2)] and symbols_of("x", "cobol") == [] == symbols_of(None, "c")
+
+
+def test_calls_are_outside_comments_and_strings():
+    source = 'def helper():\n    return "no(1)"  # no(2)\ndef main():\n    helper()\n    log.flush()\n    if (ok):\n        a.b.c()\n'
+    assert [tuple(c) for c in calls_of(source, "python")] == [(4, None, "helper"), (5, "log", "flush"), (7, "b", "c")]
+    assert [c.callee for c in calls_of("int f(int a) { /* g(1) */ return h(a) + p->q(2) + \"r(3)\"[0]; }", "cpp")] == ["h", "q"]
+    assert [c.callee for c in calls_of("const f = async (a) => `x ${y(1)}` + z(2); new T(3); function k() {}", "typescript")] == ["z"]
