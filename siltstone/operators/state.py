@@ -47,6 +47,13 @@ def freshness(current: DataFrame, indexed: DataFrame, keys: list[str]) -> DataFr
     return both.select(*keys, state.alias("state"))
 
 
+def content_hashes(chunks: DataFrame, keys: list[str], seq: str = "chunk_seq", digest: str = "digest") -> DataFrame:
+    """keys and hash of every file, from the digests of its chunks: a combinable sum of 64-bit hashes of each chunk's place and digest, and another of
+    other hashes, so nothing of a file is gathered and 16 bytes of it move."""
+    parts = [F.sum(F.xxhash64(seq, digest, F.lit(salt)).cast("decimal(20,0)")).cast("string") for salt in (1, 2)]
+    return chunks.groupBy(*keys).agg(F.concat_ws(":", F.count("*").cast("string"), *parts).alias("hash"))
+
+
 def refreshed_chunks(current: DataFrame, old_chunks: DataFrame, new_chunks: DataFrame, indexed: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
     """Chunks of the next index: those of unchanged files as they were, with their vector, and all of the others anew, to be embedded.
 
@@ -61,31 +68,73 @@ def refreshed_chunks(current: DataFrame, old_chunks: DataFrame, new_chunks: Data
     return kept.unionByName(fresh).join(embedded, "id", "left").select(*keys, "id", "reused", (F.col("reused") & F.coalesce("_v", F.lit(False))).alias("has_vector"))
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:
-    """All (start, sha) where sha is start or an ancestor of it, by edges (sha, parent).
+def linear_jumps(edges: DataFrame) -> list[DataFrame]:
+    """For j = 0, 1, ... the commit 2^j steps up from each commit, as far as every commit on the way has one parent: sha and up.
 
-    Path doubling: every round joins the reach with itself, so histories of n commits need about log2(n) joins, each cut by the
-    caller's checkpoint folder; it ends when a round adds nothing.
+    A history of n commits has at most n rows a level and log2 of its longest line of levels.
     """
     from siltstone.session import staged
 
-    reach = staged(edges.where("parent IS NOT NULL").select("sha", F.col("parent").alias("up")).distinct(), "edges")
-    n, i = reach.count(), 0
-    while rounds is None or i < rounds:
-        longer = reach.unionByName(reach.join(reach.select(F.col("sha").alias("up"), F.col("up").alias("top")), "up").select("sha", F.col("top").alias("up"))).distinct()
-        longer, i = staged(longer, "edges"), i + 1
-        m = longer.count()
-        if m == n:
+    single = edges.groupBy("sha").agg(F.count_distinct("parent").alias("n"), F.max("parent").alias("up")).where("n = 1")
+    levels = [staged(single.select("sha", "up"), "jumps")]
+    most = max(1, levels[0].count()).bit_length()
+    while len(levels) <= most:
+        below = levels[-1]
+        above = staged(below.join(below.select(F.col("sha").alias("up"), F.col("up").alias("top")), "up").select("sha", F.col("top").alias("up")), "jumps")
+        if above.isEmpty():
             break
-        reach, n = longer, m
-    own = starts.select(F.col("start"), F.col("start").alias("sha"))
-    return own.unionByName(starts.join(reach, F.col("start") == F.col("sha")).select("start", F.col("up").alias("sha"))).distinct()
+        levels.append(above)
+    return levels
+
+
+def line_places(commits: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """sha, stop (the first commit up from it that hasn't one parent) and steps to there, of each commit, by the greatest jumps first."""
+    out = commits.select("sha", F.col("sha").alias("stop"), F.lit(0).cast("long").alias("steps"))
+    for j in reversed(range(len(jumps))):
+        up = jumps[j].select(F.col("sha").alias("stop"), "up")
+        out = out.join(up, "stop", "left").select("sha", F.coalesce("up", "stop").alias("stop"), F.when(F.col("up").isNotNull(), F.col("steps") + 2**j).otherwise(F.col("steps")).alias("steps"))
+    return out
+
+
+def ancestor_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of the pairs (head, last) in which last is head or an ancestor of it, by edges (sha, parent; a merge has several rows).
+
+    Only wanted pairs are followed. A pair goes along a line of single parents in log2 steps: if last lies on the way, it is the commit as many
+    steps up as the two differ in their distance to the line's end. Where a line ends in a merge, the pair goes on from each of its parents, from
+    none twice; so a pair has no more rows than its history has merges.
+    """
+    from siltstone.session import staged
+
+    edges = edges.where("parent IS NOT NULL").distinct()
+    jumps = linear_jumps(edges)
+    merges = edges.join(edges.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select("sha"), "sha", "left_semi")
+    wanted = pairs.where("head IS NOT NULL AND last IS NOT NULL").select("head", "last").distinct()
+    goal = line_places(wanted.select(F.col("last").alias("sha")).distinct(), jumps).select(F.col("sha").alias("last"), F.col("stop").alias("last_stop"), F.col("steps").alias("last_steps"))
+    wanted = staged(wanted.join(goal, "last"), "wanted-pairs")
+    front, found, seen = wanted.withColumn("at", F.col("head")), None, None
+    while True:
+        place = line_places(front.select(F.col("at").alias("sha")).distinct(), jumps).withColumnRenamed("sha", "at")
+        placed = staged(front.join(place, "at"), "pair-places")
+        on_line = placed.where((F.col("stop") == F.col("last_stop")) & (F.col("steps") >= F.col("last_steps"))).withColumn("left", F.col("steps") - F.col("last_steps")).withColumn("to", F.col("at"))
+        for j, level in enumerate(jumps):
+            taken = F.getbit(F.col("left"), F.lit(j)) == 1
+            on_line = on_line.join(level.select(F.col("sha").alias("to"), "up"), "to", "left").withColumn("to", F.when(taken, F.col("up")).otherwise(F.col("to"))).drop("up")
+        hit = staged(on_line.where(F.col("to") == F.col("last")).select("head", "last").distinct(), "pairs-found")
+        found = hit if found is None else found.unionByName(hit)
+        here = placed.select("head", "last", "at")
+        seen = here if seen is None else staged(seen.unionByName(here), "pairs-seen")
+        ahead = placed.join(hit, ["head", "last"], "left_anti").select("head", "last", "last_stop", "last_steps", F.col("stop").alias("sha"))
+        front = ahead.join(merges, "sha").select("head", "last", "last_stop", "last_steps", F.col("parent").alias("at")).distinct()
+        front = staged(front.join(seen, ["head", "last", "at"], "left_anti"), "pair-front")
+        if front.isEmpty():
+            return found.distinct()
 
 
 def review_modes(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """mode of each target (key, head, last, from_patch): up-to-date if last is head, incremental if it is an ancestor of it, else full (as for patch files, without
     a head or a last review, and after diverging)."""
-    reach = ancestors(edges, targets.where("head IS NOT NULL").select(F.col("head").alias("start")).distinct()).select(F.col("start").alias("head"), F.col("sha").alias("last"), F.lit(True).alias("_up"))
+    asked = targets.where(~F.coalesce("from_patch", F.lit(False)) & (F.col("head") != F.col("last")))
+    reach = ancestor_pairs(asked, edges).withColumn("_up", F.lit(True))
     mode = (
         F.when(F.col("from_patch") | F.col("head").isNull() | F.col("last").isNull(), "full").when(F.col("head") == F.col("last"), "up-to-date").when(F.col("_up"), "incremental").otherwise("full")
     )

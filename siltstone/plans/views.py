@@ -30,6 +30,7 @@ def findings(spark: SparkSession, folder: str) -> DataFrame:
         rank.alias("rank"),
         F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("rationale", F.lit("")).alias("rationale"),
+        "suggestion",
         "suggested_patch",
         F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
         "evidence",
@@ -57,9 +58,9 @@ def raw_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "code_chunks")
 
 
-def chunk_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    """Code chunks, each once, with the length of their text in its place."""
-    c = raw_chunks(spark, folder).select("chunk_seq", "repo", "file", "id", "kind", F.length("text").alias("n"))
+def chunk_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Code chunks, each once, with the SHA-1 of their text (null as empty) in its place."""
+    c = raw_chunks(spark, folder).select("chunk_seq", "repo", "file", "id", "kind", F.sha1(F.coalesce("text", F.lit(""))).alias("digest"))
     return c.dropDuplicates(["chunk_seq"])
 
 
@@ -75,7 +76,7 @@ SQL = {
     "f": rf"""f AS (
   SELECT DISTINCT finding_seq AS seq, case_id, coalesce(ablation, '') AS ablation, id, category, {PATH_SQL} AS file, line, coalesce(end_line, line) AS end_line,
          lower(trim(severity)) AS severity, CASE lower(trim(severity)) WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank,
-         coalesce(title, '') AS title, coalesce(rationale, '') AS rationale, suggested_patch, coalesce(confidence, 0.6) AS confidence, evidence, created_at
+         coalesce(title, '') AS title, coalesce(rationale, '') AS rationale, suggestion, suggested_patch, coalesce(confidence, 0.6) AS confidence, evidence, created_at
   FROM findings WHERE lower(trim(severity)) IN ('critical', 'high', 'medium', 'low') AND line IS NOT NULL AND (confidence IS NULL OR confidence BETWEEN 0 AND 1))""",
     "g": rf"""g AS (
   SELECT DISTINCT gt_seq, case_id, {PATH_SQL} AS file, line, coalesce(end_line, line) AS end_line, category, note FROM defect_labels WHERE line IS NOT NULL)""",
