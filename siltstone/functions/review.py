@@ -152,4 +152,4 @@ def keywords(query: Column) -> Column:
 
 def is_placeholder(value: Column) -> Column:
     """True for a setting that isn't filled in: empty, or one that says so."""
-    return F.trim(F.coalesce(value, F.lit(""))).rlike("(?i)placeholder|fill_me_in|^$")
+    return F.coalesce(value, F.lit("")).rlike(r"(?i)placeholder|fill_me_in|\A\s*\z")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The lines of a diff and of analyzers' logs.
@@ -19,38 +21,45 @@ def numbered_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return df.where(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
 
 
+#: Where a patch is cut into its files, and a file's section or patch into its hunks: in front of their headers.
+BEFORE_FILE = r"(?md)(?=^diff --git a/.+? b/.)"
+HUNK_START = r"@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"
+BEFORE_HUNK = rf"\n(?={HUNK_START})"
+
+
+def new_side(hunk: Column, is_new: Callable[[Column], Column], is_added: Callable[[Column], Column]) -> Column:
+    """The numbers of the added ones among a hunk's lines of the new side: where only those lines are kept, a line's place is its number."""
+    start = F.regexp_extract(hunk, HUNK_HEADER, 1).try_cast("int")
+    lines = F.filter(F.split(hunk, "\n", -1), lambda x, i: (i > 0) & is_new(x))
+    return F.array_compact(F.transform(lines, lambda x, i: F.when(is_added(x), start + i)))
+
+
 def diff_hunks(patches: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per hunk of unified diffs: key, file, status, new_start, new_lines, changed_lines (array of the new side's added lines).
 
     A line's number is the hunk's start and the lines before it in the hunk that are neither removed nor a "\\ No newline" note. As
     in the format's common readers, an added line that looks like +++ and a removed one like --- are taken for context.
-    A patch's lines are put in order within the patch; patches are spread by key. A carriage return at a line's end doesn't count. Lines before the first file are skipped.
+    A carriage return at a line's end doesn't count. Lines before the first file are skipped. hunk_no counts the headers of files and hunks.
+
+    A patch is one row and is taken apart within it: texts without a header are dropped first, and nothing is shuffled.
     """
-    lines = numbered_lines(patches, [key], text).withColumn("line", F.regexp_replace("line", r"\r\z", ""))
-    line = F.col("line")
-    is_file, is_hunk = line.rlike(FILE_HEADER), line.rlike(HUNK_HEADER)
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.select(
-        key, "pos", "line", is_file.alias("is_file"), is_hunk.alias("is_hunk"), F.sum(is_file.cast("int")).over(upto).alias("file_no"), F.sum((is_hunk | is_file).cast("int")).over(upto).alias("part_no")
-    ).where("file_no > 0")
-    within = Window.partitionBy(key, "part_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    added = line.startswith("+") & ~line.startswith("+++")
-    removed = line.startswith("-") & ~line.startswith("---")
-    advances = ~F.col("is_hunk") & ~F.col("is_file") & (added | ~(removed | line.startswith("\\")))
-    first = Window.partitionBy(key, "part_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = F.first(F.when(F.col("is_hunk"), line), True).over(first)
-    rows = marked.select(
-        "*", head.alias("head"), F.coalesce(F.sum(advances.cast("int")).over(within), F.lit(0)).alias("before"), (added & ~F.col("is_hunk") & ~F.col("is_file")).alias("added")
-    ).withColumn("new_start", F.regexp_extract("head", HUNK_HEADER, 1).try_cast("int"))
-    status = F.when(line.startswith("new file"), "added").when(line.startswith("deleted file"), "deleted").when(line.startswith("rename "), "renamed")
-    files = rows.groupBy(key, "file_no").agg(
-        F.max(F.when(F.col("is_file"), F.regexp_extract("line", FILE_HEADER, 2))).alias("file"), F.coalesce(F.max_by(status, F.when(status.isNotNull(), F.col("pos"))), F.lit("modified")).alias("status")
-    )
-    count = F.regexp_extract("head", HUNK_HEADER, 2)
-    hunks = rows.where(F.col("head").isNotNull()).groupBy(key, "file_no", "part_no", "new_start", F.coalesce(count.try_cast("int"), F.lit(1)).alias("new_lines")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("added"), F.col("new_start") + F.col("before")))).alias("changed_lines")
-    )
-    return hunks.join(files, [key, "file_no"]).select(key, "file", "status", F.col("part_no").cast("int").alias("hunk_no"), "new_start", "new_lines", "changed_lines")
+    with_files = patches.where(F.contains(text, F.lit("diff --git "))).select(key, F.regexp_replace(text, r"\r(?=\n|\z)", "").alias("_t"))
+    sections = F.filter(F.split("_t", BEFORE_FILE, -1), lambda x: x.rlike(rf"\A{BEFORE_FILE}"))
+    # each section has so many headers; before it are those of all earlier ones
+    headers = F.transform("_s", lambda x: F.regexp_count(x, F.lit(BEFORE_HUNK)) + 1)
+    before = F.aggregate(headers, F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+    files = with_files.select(key, sections.alias("_s")).select(key, "_s", before.alias("_before")).select(key, "_before", F.posexplode("_s").alias("_no", "_x"))
+    marks = F.filter(F.split("_x", "\n", -1), lambda x: x.startswith("new file") | x.startswith("deleted file") | x.startswith("rename "))
+    last = F.get(marks, F.size(marks) - 1)
+    status = F.when(last.startswith("new file"), "added").when(last.startswith("deleted file"), "deleted").when(last.startswith("rename "), "renamed").otherwise("modified")
+    own = files.select(key, F.regexp_extract("_x", rf"(?m){FILE_HEADER}", 2).alias("file"), status.alias("status"), F.get("_before", F.col("_no")).alias("_first"), F.posexplode(F.split("_x", BEFORE_HUNK, -1)).alias("_hunk", "_h"))
+    hunk = F.col("_h")
+    added = lambda x: x.startswith("+") & ~x.startswith("+++")
+    advances = lambda x: added(x) | ~((x.startswith("-") & ~x.startswith("---")) | x.startswith("\\"))
+    return own.where("_hunk > 0").select(
+        key, "file", "status", (F.col("_first") + F.col("_hunk") + 1).alias("hunk_no"), F.regexp_extract(hunk, HUNK_HEADER, 1).try_cast("int").alias("new_start"),
+        F.coalesce(F.regexp_extract(hunk, HUNK_HEADER, 2).try_cast("int"), F.lit(1)).alias("new_lines"), new_side(hunk, advances, added).alias("changed_lines"),
+    )
 
 
 def effective_lines(hunks: DataFrame, *keys: str) -> DataFrame:
@@ -60,16 +69,10 @@ def effective_lines(hunks: DataFrame, *keys: str) -> DataFrame:
 
 
 def commentable_lines(patches: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and line: added and context lines of one file's hunks, on which a comment can stand."""
-    lines = numbered_lines(patches, keys, text)
-    line = F.col("line")
-    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    part = lines.withColumn("part", F.sum(line.rlike(HUNK_HEADER).cast("int")).over(upto)).where("part > 0")
-    within = Window.partitionBy(*keys, "part").orderBy("pos")
-    is_head, removed = line.rlike(HUNK_HEADER), line.startswith("-")
-    start = F.first(F.when(is_head, F.regexp_extract("line", HUNK_HEADER, 1).try_cast("int")), True).over(within)
-    before = F.coalesce(F.sum((~is_head & ~removed).cast("int")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return part.select(*keys, "line", (start + before).cast("int").alias("at"), is_head.alias("h")).where(~F.col("h") & ~F.col("line").startswith("-")).select(*keys, F.col("at").alias("line")).distinct()
+    """keys and line: added and context lines of one file's hunks, on which a comment can stand. A patch is taken apart within its row."""
+    hunks = patches.where(F.contains(text, F.lit("@@ -"))).select(*keys, F.explode(F.split(text, BEFORE_HUNK, -1)).alias("_h")).where(F.col("_h").rlike(rf"\A{HUNK_START}"))
+    kept = lambda x: ~x.startswith("-")
+    return hunks.select(*keys, F.explode(new_side(F.col("_h"), kept, lambda x: F.lit(True))).alias("line")).distinct()
 
 
 def clang_tidy_findings(logs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -180,13 +183,17 @@ def symbol_chunks(files: DataFrame, symbols: DataFrame, most: int = CHUNK_CHARS)
     return cut.select(chunk_id(F.col("file"), F.col("start_line"), F.col("end_line")).alias("id"), "*")
 
 
+def numbered(lines: Column, first: Column, last: Column, most: int = CHUNK_CHARS) -> Column:
+    """The lines first..last of an array of lines, each behind its number, cut at `most` characters with a note."""
+    shown = F.array_join(F.transform(F.slice(lines, first, F.greatest(F.lit(0), last - first + 1)), lambda x, i: F.concat((first + i).cast("string"), F.lit("| "), x)), "\n")
+    return F.when(F.length(shown) > most, F.concat(F.substring(shown, 1, most), F.lit("\n... [truncated]"))).otherwise(shown)
+
+
 def read_lines(files: DataFrame, file: str, first: int | None = None, last: int | None = None, most: int = CHUNK_CHARS) -> DataFrame:
     """The named file's lines first..last (clamped to the file), each behind its number, cut at `most` characters with a note."""
     lines = files.where(F.col("file") == file).select(F.split("text", "\n", -1).alias("l"))
-    begin = F.greatest(F.lit(1), F.lit(first or 1))
     end = F.least(F.size("l"), F.lit(last)) if last else F.size("l")
-    shown = F.array_join(F.transform(F.slice("l", begin, F.greatest(F.lit(0), end - begin + 1)), lambda x, i: F.concat((begin + i).cast("string"), F.lit("| "), x)), "\n")
-    return lines.select(F.when(F.length(shown) > most, F.concat(F.substring(shown, 1, most), F.lit("\n... [truncated]"))).otherwise(shown).alias("text"))
+    return lines.select(numbered(F.col("l"), F.greatest(F.lit(1), F.lit(first or 1)), end, most).alias("text"))
 
 
 def grep(files: DataFrame, keys: list[str], pattern: str, text: str = "text", glob: str | None = None) -> DataFrame:
