@@ -20,9 +20,31 @@ CONFIGURATIONS = {
     "full": ["index", "static", "verifier", "memory"],
 }
 
+#: Most configurations that an evaluation compares.
+MOST_CONFIGURATIONS = 100
+
 COUNTS = ["true_positives", "false_positives", "false_negatives", "localized"]
 
 
+def every_run(cases: DataFrame, findings: DataFrame) -> DataFrame:
+    """Every case under every configuration that any finding names: case_id and ablation. The names are a short list, and an error if it isn't."""
+    names = [r[0] for r in findings.select("ablation").distinct().limit(MOST_CONFIGURATIONS + 1).collect()]
+    if len(names) > MOST_CONFIGURATIONS:
+        raise ValueError(f"more than {MOST_CONFIGURATIONS} configurations")
+    return cases.select("case_id", F.explode(F.array(*[F.lit(n).cast("string") for n in names]).cast("array<string>")).alias("ablation"))
+
+
+def chosen_cases(cases: DataFrame, only: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """Cases (case_id) that a list of names asks for, less those that another names; without lists all."""
+    kept = cases if only is None else cases.where(F.col("case_id").isin(only))
+    return kept if not without else kept.where(~F.col("case_id").isin(without))
+
+
+def compared_configuration(rates: DataFrame, order: str = "run_no") -> DataFrame:
+    """The rates (ablation, run_no) that stand for a run where it is compared: those of the full configuration, else of the last one."""
+    return rates.orderBy((F.col("ablation") == "full").desc(), F.desc(order)).limit(1)
+
+
 def matched_findings(findings: DataFrame, labels: DataFrame, by_category: bool = True, collapse: bool = True) -> DataFrame:
     """seq, group and inside of each finding near a range: its first defect group in label order, and whether it lies within one of the group's ranges.
 

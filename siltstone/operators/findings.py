@@ -121,5 +121,5 @@ def comment_body(findings: DataFrame) -> DataFrame:
     evidence = F.array_join(F.transform(F.coalesce("evidence", F.array().cast("array<struct<ev_type:string,ev_ref:string>>")), lambda e: F.concat(F.lit("\n- "), e["ev_type"], F.lit(": "), e["ev_ref"])), "")
     head = F.concat(F.lit("**"), F.upper("severity"), F.lit(": "), F.col("title"), F.lit("** ("), F.col("category"), F.lit(", "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit(" %)"))
     patch = F.when(F.coalesce("suggested_patch", F.lit("")) != "", F.concat(F.lit("\n\n```suggestion\n"), F.col("suggested_patch"), F.lit("\n```"))).otherwise("")
-    body = F.concat(head, line("", F.col("rationale")), patch, F.when(evidence != "", F.concat(F.lit("\n"), evidence)).otherwise(""), F.lit("\n\nfinding id: `"), F.col("id"), F.lit("`"))
+    body = F.concat(head, line("", F.col("rationale")), line("Suggestion: ", F.col("suggestion") if "suggestion" in findings.columns else F.lit(None).cast("string")), patch, F.when(evidence != "", F.concat(F.lit("\n"), evidence)).otherwise(""), F.lit("\n\nfinding id: `"), F.col("id"), F.lit("`"))
     return findings.select("seq", "file", F.greatest(F.lit(1), "line").alias("line"), body.alias("body"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -16,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Statuses worth another try, waits in seconds, texts of one embedding call, tool rounds of one answer.
-RETRY_STATUS = [429, 500, 502, 503, 504]
+#: Statuses worth another try (and all from 500 to 599), waits in seconds, tries after the first, texts of one embedding call, tool rounds.
+RETRY_STATUS, SERVER_STATUS, RETRIES = [429], range(500, 600), 4
 FIRST_WAIT, LONGEST_WAIT, JITTER = 1.0, 16.0, 0.3
 EMBED_BATCH, TOOL_ROUNDS = 64, 8
 #: Statuses and words by which an error says that a model takes no schema.
@@ -122,13 +124,13 @@ def wait_before(attempt: int) -> float:
     return min(FIRST_WAIT * 2**attempt, LONGEST_WAIT) * (1 + JITTER * random.random())
 
 
-def with_retries(call: Callable[[], Any], retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> Any:
+def with_retries(call: Callable[[], Any], retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep) -> Any:
     """call(), again after failures that may pass."""
     for attempt in range(retries + 1):
         try:
             return call()
         except (ConnectionError, TimeoutError, HttpStatus) as e:
-            if attempt == retries or (isinstance(e, HttpStatus) and e.status not in RETRY_STATUS):
+            if attempt == retries or (isinstance(e, HttpStatus) and e.status not in RETRY_STATUS and e.status not in SERVER_STATUS):
                 raise
             sleep(wait_before(attempt))
 
@@ -151,17 +153,38 @@ class Fallback:
 
 @dataclass
 class Cached:
-    """A model whose answers are kept by the whole request, its schema too."""
+    """A model whose answers are kept by the whole request, its schema too: in memory and, if a folder is named, as a file each, which outlives the process.
+
+    A file is written beside its place and moved there, so tasks that answer the same request at once leave one whole file.
+    """
 
     model: ChatModel
     known: dict[str, str] = field(default_factory=dict)
+    folder: str | None = None
 
     def chat(self, request: dict) -> str:
         key = hashlib.sha256(json.dumps(request, sort_keys=True).encode()).hexdigest()[:32]
         if key not in self.known:
-            self.known[key] = self.model.chat(request)
+            self.known[key] = self.kept(key, request)
         return self.known[key]
 
+    def kept(self, key: str, request: dict) -> str:
+        if self.folder is None:
+            return self.model.chat(request)
+        path = os.path.join(self.folder, f"{key}.json")
+        try:
+            with open(path, encoding="utf-8") as f:
+                return json.load(f)["answer"]
+        except (OSError, ValueError, KeyError, TypeError):
+            pass
+        answer = self.model.chat(request)
+        os.makedirs(self.folder, exist_ok=True)
+        fresh = f"{path}.{os.getpid()}.{threading.get_ident()}"
+        with open(fresh, "w", encoding="utf-8") as f:
+            json.dump({"answer": answer}, f)
+        os.replace(fresh, path)
+        return answer
+
 
 def rejects_schema(error: Exception) -> bool:
     said = str(error).lower()

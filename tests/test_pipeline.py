@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 
 from siltstone.__main__ import main
+from siltstone.sources.files import load_index, load_memory
 from siltstone.operators import pipeline as pl
 
 DATA = Path("/root/testdata/sf0.001")
@@ -74,4 +75,15 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "repo").mkdir()
     (tmp_path / "repo" / "a.cc").write_text("int f() {\n  return g(1);\n}\n")
     assert main(["index", str(tmp_path / "repo"), str(tmp_path / "index")], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "index" / "symbols")).collect()[0].name == "f"
+    tables = load_index(spark, str(tmp_path / "index"), {"symbols": "name string", "meta": "files bigint, chunks bigint", "vectors": "id string, vector array<double>", "sites": "line int, callee string"})
+    assert tables["symbols"].collect()[0].name == "f" and tables["vectors"].count() == 1 and [tuple(r) for r in tables["sites"].collect()] == [(2, "g")]
+    assert [(r.files, r.chunks) for r in tables["meta"].collect()] == [(1, 1)]
+    assert main(["review", str(DATA), "--out", str(tmp_path / "all"), "--format", "all"], spark) == 0
+    assert {f.name for f in (tmp_path / "all").iterdir()} == {"md", "json", "sarif"}
+    known = spark.read.parquet(str(DATA / "findings.parquet")).where("severity = 'high' AND line > 0 AND confidence IS NULL").first().id
+    memory = str(tmp_path / "memory")
+    assert main(["feedback", str(DATA), known, "accept", memory], spark) == 0 and main(["feedback", str(DATA), "no such", "accept", memory], spark) == 1
+    assert [(r.id, r.kind) for r in load_memory(spark, memory).collect()] == [(known, "confirmed_bug")]
+    assert main(["feedback", str(DATA), known, "ignore", memory], spark) == 0 and main(["feedback", str(DATA), known, "reject", memory], spark) == 0
+    assert [(r.id, r.kind) for r in load_memory(spark, memory).collect()] == [(known, "false_positive")]
+    assert main(["doctor", str(tmp_path)], spark) == 0 and "spark" in capsys.readouterr().out
