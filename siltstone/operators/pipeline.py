@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.review import SOURCE_FILE, TEST_FOLDER, finding_id, infer_category, infer_severity, reviewable, slug
@@ -31,6 +31,11 @@ def review(raw: DataFrame, verdicts: DataFrame | None, suppressed: DataFrame | N
     return fi.near_line_dedupe(fi.admitted(checked, suppressed, globs, least), [*keys, "file"])
 
 
+def make_findings(found: DataFrame, category: Column) -> DataFrame:
+    """What a dimension found (file, line, title and more) as findings of a category, with the id by which each is known again."""
+    return found.withColumn("category", category).withColumn("id", finding_id(F.col("file"), F.col("line"), F.col("category"), F.col("title")))
+
+
 def asked(prompts: DataFrame, reviewer: ChatModel, verifier: ChatModel | None, keys: list[str], least: float = fi.MIN_CONFIDENCE, suppressed: DataFrame | None = None, globs: list[str] | None = None) -> DataFrame:
     """A whole review by models of each prompt (keys, prompt): every dimension is asked, the answers' findings are verified in one listing per review,
     and what is left is reported as by review().
@@ -42,8 +47,7 @@ def asked(prompts: DataFrame, reviewer: ChatModel, verifier: ChatModel | None, k
     wanted = prompts.select(*keys, "prompt", dims.alias("category")).withColumn("prompt", F.concat(F.lit("Dimension: "), "category", F.lit("\n"), "prompt"))
     answers = staged(answered(wanted, reviewer, [*keys, "category"]), "answers")
     found = tt.answered_findings(answers, [*keys, "category"])
-    own = [F.xxhash64(*keys, "category", "item").alias("seq"), finding_id(F.col("file"), F.col("line"), F.col("category"), F.col("title")).alias("id"), severity_rank(F.col("severity")).alias("rank")]
-    raw = found.select("*", *own)
+    raw = make_findings(found, F.col("category")).select("*", F.xxhash64(*keys, "category", "item").alias("seq"), severity_rank(F.col("severity")).alias("rank"))
     if verifier is None:
         return review(raw, None, suppressed, globs or [], keys, least)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.review import language
 from siltstone.functions.text import SEVERITIES
 from siltstone.operators.findings import best_first, comment_body, top_findings
 
@@ -38,6 +39,21 @@ def markdown(findings: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.join(tally(findings, keys), keys).select(*keys, text.alias("markdown"))
 
 
+def json_report(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the JSON document of each review: its findings best first, and their counts. A review is small."""
+    one = F.struct("id", "category", "file", "line", F.col("end_line").alias("endLine"), "severity", "title", "rationale", "confidence")
+    rows = findings.select(*keys, "severity", F.struct("rank", (-F.col("confidence")).alias("c"), "seq", one.alias("one")).alias("x"))
+    counts = F.struct(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"), counts.alias("counts"))
+    return grouped.select(*keys, F.to_json(F.struct("counts", F.transform("xs", lambda x: x["one"]).alias("findings"))).alias("json"))
+
+
+def files_by_language(files: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lang and the sorted files of each language that analyzers know; one change's files are few."""
+    known = files.select(*keys, language(F.col("file"), "").alias("lang"), "file").where("lang <> ''").distinct()
+    return known.groupBy(*keys, "lang").agg(F.array_sort(F.collect_set("file")).alias("files"))
+
+
 def summaries(findings: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the head of a posted review: counts and the SUMMARY_LINES best findings."""
     best = top_findings(findings, keys, SUMMARY_LINES)

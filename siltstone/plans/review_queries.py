@@ -98,9 +98,8 @@ BY_FILE_SQL = with_views("f") + "SELECT case_id, ablation, file, count(*) AS n,
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every case under every configuration (three rows)."""
-    names = views.findings(spark, folder).select("ablation").distinct()
-    return views.cases(spark, folder).select("case_id").crossJoin(F.broadcast(names))
+    """Every case under every configuration."""
+    return ev.every_run(views.cases(spark, folder), views.findings(spark, folder))
 
 
 def _metrics(spark: SparkSession, folder: str, by_category: bool = True, collapse: bool = True) -> DataFrame:
