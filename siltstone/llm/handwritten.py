@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,9 @@ LIMITS = {
 }
 #: Lines a file needs before the share of different ones says anything; letters and digits of an encoded run.
 LEAST_LINES, ENCODED_RUN = 12, 120
-#: Lines of a run by which copies are known again, letters and digits a run needs, and the share of a file's runs that stand in another repository, too,
+#: Lines of a run by which copies are known again, characters a run needs, and the share of a file's runs that stand in another repository, too,
 #: from which on it is a copy. Runs that make up one part in HOT_SHARE of all, so at most HOT_SHARE of them, are told by a broadcast.
-RUN_LINES, RUN_LETTERS, COPIED, HOT_SHARE = 6, 40, 0.3, 10_000
+RUN_LINES, RUN_CHARS, COPIED, HOT_SHARE = 6, 60, 0.3, 10_000
 #: A line of this length, almost without blanks and dense in letters and digits, counts as encoded in any language.
 LONG_LINE, DENSE = 2_000, 0.95
 
@@ -52,38 +53,57 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\r?\n", -1), lambda x: F.length(F.trim(x)) > 0)
 
 
+def head_of(whole: Column) -> Column:
+    """The comment lines in front of a text's first code, without their marks, and whether there is code."""
+
+    def told(at: Column) -> Column:
+        front = F.when(at > 0, F.substring(whole, F.lit(1), at - 1)).otherwise(whole)
+        # a block comment whose lines don't begin with asterisks ends at its own mark
+        opened = (at > 0) & front.rlike(r"(?:^|\n)[ \t]*/\*(?:[^*]|\*(?!/))*+\z")
+        rest = F.substring_index(F.substring(whole, at, F.lit(2**31 - 1)), "*/", 1)
+        return F.struct(said(lines_of(F.when(opened, F.concat(front, rest)).otherwise(front))).alias("head"), (at > 0).alias("has_code"))
+
+    return let(F.regexp_instr(whole, F.lit(FIRST_CODE)), told)
+
+
+def said(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:///?|/\*+!?|#+!?|\*+|<!--)?\s*", "")))
+
+
+def layout(lines: Column) -> Column:
+    """Counts of a text's lines that aren't blank, and the comments among its last ones."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
+    literal = F.filter(lines, lambda x: F.when(x.rlike(LITERAL_START), F.length(F.regexp_replace(x, LITERALS, "")) == 0).otherwise(F.lit(False)))
+    last = F.filter(F.slice(lines, -F.least(F.lit(TAIL_LINES), F.size(lines)), TAIL_LINES), lambda x: x.rlike(COMMENT_LINE))
+    return F.struct(
+        F.size(lines).cast("bigint").alias("n_lines"),
+        total(lines).alias("n_chars"),
+        total(literal).alias("n_literal"),
+        F.array_max(F.transform(lines, F.length)).alias("max_line"),
+        F.when(F.size(lines) > 0, said(last)).otherwise(F.array().cast("array<string>")).alias("tail"),
+    )
+
+
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """Layout sums of each chunk, each chunk_seq once."""
-    text = F.col("text")
-    lines = chunks.where(F.col("file").isNotNull() & F.col("repo").isNotNull()).withColumn("whole", F.coalesce(text, F.lit(""))).withColumn("lines", lines_of(F.col("whole")))
-    literal = F.filter("lines", lambda x: F.when(x.rlike(LITERAL_START), F.length(F.regexp_replace(x, LITERALS, "")) == 0).otherwise(F.lit(False)))
-    of = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
-    among = lambda letters: (F.length("whole") - F.length(F.translate("whole", letters, ""))).cast("bigint")
-    code_at = F.regexp_instr("whole", F.lit(FIRST_CODE))
-    front = F.when(code_at > 0, F.substring(F.col("whole"), F.lit(1), code_at - 1)).otherwise(F.col("whole"))
-    # a block comment whose lines don't begin with asterisks ends at its own mark
-    open_block = front.rlike(r"(?:^|\n)[ \t]*/\*(?:[^*]|\*(?!/))*+\z") & (code_at > 0)
-    rest = F.substring(F.col("whole"), code_at, F.lit(2**31 - 1))
-    front = F.when(open_block, F.concat(front, F.substring_index(rest, "*/", 1))).otherwise(front)
-    said = lambda xs: F.transform(xs, lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:///?|/\*+!?|#+!?|\*+|<!--)?\s*", "")))
-    last = F.filter(F.slice("lines", -F.least(F.lit(TAIL_LINES), F.size("lines")), TAIL_LINES), lambda x: x.rlike(COMMENT_LINE))
-    per_chunk = lines.select(
+    whole = F.coalesce("text", F.lit(""))
+    among = lambda letters: (F.length(whole) - F.length(F.translate(whole, letters, ""))).cast("bigint")
+    # a text without a line of that length has no such run
+    run = F.regexp_extract_all(whole, F.lit(rf"[A-Za-z0-9+/=]{{{ENCODED_RUN},}}"), 0)
+    encoded = F.when(F.col("layout.max_line") >= ENCODED_RUN, F.aggregate(run, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))).otherwise(F.lit(0).cast("bigint"))
+    known = chunks.where(F.col("file").isNotNull() & F.col("repo").isNotNull())
+    per_chunk = known.select("chunk_seq", "repo", "file", "lang", "start_line", "text", let(lines_of(whole), layout).alias("layout"), head_of(whole).alias("front")).select(
         "chunk_seq",
         "repo",
         "file",
         "lang",
         F.coalesce("start_line", F.lit(1)).alias("start_line"),
-        F.size("lines").cast("bigint").alias("n_lines"),
-        of(F.col("lines")).alias("n_chars"),
-        of(literal).alias("n_literal"),
-        F.array_max(F.transform("lines", F.length)).alias("max_line"),
+        "layout.*",
         among(BLANKS).alias("n_space"),
         among(string.ascii_letters + string.digits).alias("n_alnum"),
-        F.length("whole").cast("bigint").alias("n_all"),
-        of(F.regexp_extract_all("whole", F.lit(rf"[A-Za-z0-9+/=]{{{ENCODED_RUN},}}"), 0)).alias("n_encoded"),
-        said(lines_of(front)).alias("head"),
-        (code_at > 0).alias("has_code"),
-        F.when(F.size("lines") > 0, said(last)).otherwise(F.array().cast("array<string>")).alias("tail"),
+        F.length(whole).cast("bigint").alias("n_all"),
+        encoded.alias("n_encoded"),
+        "front.*",
     )
     return per_chunk.dropDuplicates(["chunk_seq"])
 
@@ -94,11 +114,12 @@ def file_key(repo: str = "repo", file: str = "file") -> Column:
 
 
 def line_forms(chunks: DataFrame) -> DataFrame:
-    """fid, repo (a hash) and lines of each chunk with text: the hash of each line with numbers made one, and its count of letters and numbers."""
+    """fid, repo (a hash), forms and sizes of each chunk with text: the hash of each line with numbers made one, and its length."""
     known = chunks.where(F.col("file").isNotNull() & F.col("repo").isNotNull() & F.col("text").isNotNull())
-    form = lambda x: F.struct(F.xxhash64(x).alias("form"), (F.length(x) - F.length(F.translate(x, string.ascii_letters + "9", ""))).alias("letters"))
-    lines = F.transform(lines_of(F.col("text")), lambda x: let(F.regexp_replace(F.trim(x), NUMBERS, "9"), form))
-    return staged(known.select(file_key().alias("fid"), F.xxhash64("repo").alias("repo"), lines.alias("lines")), "line-forms")
+    form = lambda x: F.xxhash64(F.when(x.rlike("[0-9]"), F.regexp_replace(x, NUMBERS, "9")).otherwise(x))
+    told = lambda xs: F.struct(F.transform(xs, form).alias("forms"), F.transform(xs, F.length).alias("sizes"))
+    lines = let(F.transform(lines_of(F.col("text")), lambda x: F.trim(x)), told)
+    return staged(known.select(file_key().alias("fid"), F.xxhash64("repo").alias("repo"), lines.alias("x")).select("fid", "repo", "x.*"), "line-forms")
 
 
 def copied_shares(forms: DataFrame) -> DataFrame:
@@ -108,13 +129,13 @@ def copied_shares(forms: DataFrame) -> DataFrame:
     files are made. The flags go back to the files by an equi-join on runs, whose hot keys (a licence that every file has) are told by a
     broadcast of at most HOT_SHARE rows.
     """
+
     def run(i: Column) -> Column:
-        of = F.slice("lines", i + 1, RUN_LINES)
-        letters = F.aggregate(of, F.lit(0), lambda n, x: n + x["letters"])
-        return F.when(letters >= RUN_LETTERS, F.xxhash64(F.transform(of, lambda x: x["form"])))
+        chars = reduce(lambda x, y: x + y, [F.get("sizes", i + k) for k in range(RUN_LINES)])
+        return F.when(chars >= RUN_CHARS, F.xxhash64(*[F.get("forms", i + k) for k in range(RUN_LINES)]))
 
-    runs = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size("lines") - RUN_LINES), run)))
-    runs = staged(forms.where(F.size("lines") >= RUN_LINES).select("fid", "repo", F.explode(runs).alias("run")), "line-runs")
+    runs = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size("forms") - RUN_LINES), run)))
+    runs = staged(forms.where(F.size("forms") >= RUN_LINES).select("fid", "repo", F.explode(runs).alias("run")), "line-runs")
     shared = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("run", "n")
     shared = staged(shared, "shared-runs")
     often = F.col("n") * HOT_SHARE >= runs.count()
@@ -143,8 +164,7 @@ def file_statistics(chunks: DataFrame) -> DataFrame:
     files = files.withColumn("head", F.when(F.col("first.has_code"), F.col("first.head")).otherwise(F.concat("first.head", F.coalesce("before_code", none))))
     forms = line_forms(chunks)
     # equal lines of a file meet as (file, hash) and are combined on the map side: a file with a third of all chunks is no single group
-    own = F.array_distinct(F.transform("lines", lambda x: x["form"]))
-    different = forms.select("fid", F.explode(own).alias("form")).distinct().groupBy("fid").agg(F.count("*").alias("n_different"))
+    different = forms.select("fid", F.explode(F.array_distinct("forms")).alias("form")).distinct().groupBy("fid").agg(F.count("*").alias("n_different"))
     share = lambda c, n: F.coalesce(F.col(c) / F.when(F.col(n) > 0, F.col(n)), F.lit(0.0))
     joined = files.withColumn("fid", file_key()).join(different, "fid", "left").join(copied_shares(forms), "fid", "left")
     return joined.select(
