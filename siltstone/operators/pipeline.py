@@ -11,7 +11,8 @@ from siltstone.operators import evaluation as ev
 from siltstone.operators import findings as fi
 from siltstone.operators import text_tables as tt
 from siltstone.operators.code_index import near_changes, overlapping_symbols
-from siltstone.operators.runtime import DIMENSIONS, ChatModel, answered
+from siltstone.operators.runtime import ALWAYS, DIMENSIONS, MEANT_FINDINGS, ChatModel, answered
+from siltstone.operators.state import exemplars, suppressed_ids
 from siltstone.session import staged
 
 
@@ -36,17 +37,56 @@ def make_findings(found: DataFrame, category: Column) -> DataFrame:
     return found.withColumn("category", category).withColumn("id", finding_id(F.col("file"), F.col("line"), F.col("category"), F.col("title")))
 
 
-def asked(prompts: DataFrame, reviewer: ChatModel, verifier: ChatModel | None, keys: list[str], least: float = fi.MIN_CONFIDENCE, suppressed: DataFrame | None = None, globs: list[str] | None = None) -> DataFrame:
-    """A whole review by models of each prompt (keys, prompt): every dimension is asked, the answers' findings are verified in one listing per review,
-    and what is left is reported as by review().
+def triaged(prompts: DataFrame, triage: ChatModel | None, keys: list[str]) -> DataFrame:
+    """keys, prompt and category for each dimension that a triage model picks for a review: always the constant one, all where it fails or isn't there."""
+    if triage is None:
+        return prompts.select(*keys, "prompt", F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])).alias("category"))
+    asked_for = prompts.select(*keys, F.concat(F.lit(f"Which of {', '.join(DIMENSIONS)} does this change need? Answer as {{\"dimensions\": [...]}}.\n"), "prompt").alias("prompt"))
+    picked = staged(answered(asked_for, triage, keys), "triage")
+    listed = F.from_json(tt.outer_object(F.col("answer")), "struct<dimensions:array<string>>")["dimensions"]
+    every = F.array(*[F.lit(d) for d in DIMENSIONS])
+    known = F.array_intersect(listed, every)
+    dims = F.when(F.size(known) > 0, F.array_union(known, F.array(F.lit(ALWAYS)))).otherwise(every)
+    return prompts.join(picked.select(*keys, F.explode(F.coalesce(dims, every)).alias("category")), keys).select(*keys, "prompt", "category")
+
+
+def with_exemplars(prompts: DataFrame, memory: DataFrame | None) -> DataFrame:
+    """Prompts (with a category) and, behind each, the latest confirmed bugs of its category; at most two, so the table of them is small."""
+    if memory is None:
+        return prompts
+    said = F.concat(F.lit("- "), "file", F.lit(": "), "title")
+    few = exemplars(memory).groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", said.alias("s")))), lambda x: x["s"]), "\n").alias("few"))
+    joined = prompts.join(few, "category", "left")
+    return joined.withColumn("prompt", F.concat("prompt", F.coalesce(F.concat(F.lit("\n\n## Confirmed before\n"), "few"), F.lit("")))).select(*prompts.columns)
+
+
+def read_answers(answers: DataFrame, reviewer: ChatModel, keys: list[str]) -> DataFrame:
+    """The findings in answers (keys, answer); one without any that looks as if it meant some is sent back once, to be put right."""
+    found = tt.answered_findings(answers, keys)
+    empty = answers.join(found.select(*keys).distinct(), keys, "left_anti").where(F.col("answer").rlike(MEANT_FINDINGS))
+    again = empty.select(*keys, F.concat(F.lit("Give this as one valid JSON object and nothing else:\n"), "answer").alias("prompt"))
+    return found.unionByName(tt.answered_findings(staged(answered(again, reviewer, keys), "repaired"), keys))
+
+
+def asked(
+    prompts: DataFrame, reviewer: ChatModel, verifier: ChatModel | None, keys: list[str], least: float = fi.MIN_CONFIDENCE, suppressed: DataFrame | None = None, globs: list[str] | None = None,
+    triage: ChatModel | None = None, memory: DataFrame | None = None,
+) -> DataFrame:
+    """A whole review by models of each prompt (keys, prompt): the dimensions that triage picks are asked, each with what memory has confirmed of it, answers that
+    can't be read are put right once, the findings are verified in one listing per review, and what is left is reported as by review(), without
+    what memory knows to be false.
 
     Calls run in the tasks that hold the prompts. An answer that can't be read gives no finding; a verifier that fails drops none. Answers are
-    staged, so that no later step or lost executor asks again.
+    staged, so that no later step or lost executor asks again. Tools answer from tables that only the driver reaches, so a model that asks for them
+    is led by runtime.tool_loop there, not here.
     """
-    dims = F.explode(F.array(*[F.lit(d) for d in DIMENSIONS]))
-    wanted = prompts.select(*keys, "prompt", dims.alias("category")).withColumn("prompt", F.concat(F.lit("Dimension: "), "category", F.lit("\n"), "prompt"))
+    if memory is not None:
+        false = suppressed_ids(memory)
+        suppressed = false if suppressed is None else suppressed.select("id").unionByName(false)
+    wanted = with_exemplars(triaged(prompts, triage, keys), memory)
+    wanted = wanted.withColumn("prompt", F.concat(F.lit("Dimension: "), "category", F.lit("\n"), "prompt"))
     answers = staged(answered(wanted, reviewer, [*keys, "category"]), "answers")
-    found = tt.answered_findings(answers, [*keys, "category"])
+    found = read_answers(answers, reviewer, [*keys, "category"])
     raw = make_findings(found, F.col("category")).select("*", F.xxhash64(*keys, "category", "item").alias("seq"), severity_rank(F.col("severity")).alias("rank"))
     if verifier is None:
         return review(raw, None, suppressed, globs or [], keys, least)
@@ -58,6 +98,21 @@ def asked(prompts: DataFrame, reviewer: ChatModel, verifier: ChatModel | None, k
     return review(raw, verdicts, suppressed, globs or [], keys, least)
 
 
+def judged_by(findings: DataFrame, runs: DataFrame, judge: ChatModel, keys: list[str]) -> DataFrame:
+    """n, valid_rate and mean_score of each run (keys) by a model that judges all findings of a run at once; a run without findings has 1 and 1.
+
+    A finding that the model says nothing of is valid with 0.5.
+    """
+    said = F.concat(F.lit("- "), "id", F.lit(" "), "file", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "title", F.lit("\n"), "rationale")
+    listed = findings.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", said.alias("s")))), lambda x: x["s"]), "\n").alias("listing"))
+    asks = listed.select(*keys, F.concat(F.lit('Judge each finding. Answer as {"judgments": [{"id": ..., "valid": ..., "score": ...}]}.\n'), "listing").alias("prompt"))
+    judgments = tt.answered_judgments(staged(answered(asks, judge, keys), "judgments"), keys)
+    last = judgments.groupBy(*keys, "id").agg(F.max_by(F.struct("valid", "score"), "judgment_seq").alias("j"))
+    each = findings.select(*keys, "id").join(last, [*keys, "id"], "left").select(*keys, F.coalesce("j.valid", F.lit(True)).cast("double").alias("valid"), F.coalesce("j.score", F.lit(0.5)).alias("score"))
+    rates = each.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("valid").alias("valid_rate"), F.avg("score").alias("mean_score"))
+    return runs.join(rates, keys, "left").select(*keys, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("valid_rate", F.lit(1.0)).alias("valid_rate"), F.coalesce("mean_score", F.lit(1.0)).alias("mean_score"))
+
+
 def evaluated(findings: DataFrame, labels: DataFrame, runs: DataFrame, by_category: bool = True, collapse: bool = True) -> dict[str, DataFrame]:
     """Metrics of each run (case_id, ablation) and rates of each configuration."""
     metrics = ev.case_metrics(findings, labels, runs, by_category, collapse)

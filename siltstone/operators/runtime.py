@@ -263,9 +263,13 @@ def chosen_dimensions(answer: str | None) -> list[str]:
     return picked if ALWAYS in picked else [*picked, ALWAYS]
 
 
+#: Signs in an answer that it means to have findings.
+MEANT_FINDINGS = 'findings|"file"|"severity"'
+
+
 def needs_repair(answer: str, n_findings: int) -> bool:
     """Whether an answer without findings looks as if it meant some."""
-    return n_findings == 0 and any(sign in answer for sign in ("findings", '"file"', '"severity"'))
+    return n_findings == 0 and re.search(MEANT_FINDINGS, answer) is not None
 
 
 def tool_loop(model: ChatModel, tools: dict[str, Callable[[dict], str]], request: dict, rounds: int = TOOL_ROUNDS) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -158,6 +160,27 @@ def fix_commits(changes: DataFrame, most_files: int = 2, limit: int = 10) -> Dat
     return counted.where(F.col("n_files").between(1, most_files)).orderBy(F.desc("at"), "sha").limit(limit)
 
 
+def append_trace(trace: DataFrame, folder: str, send: Callable[[list[str]], None] | None = None, batch: int = 500) -> None:
+    """A run's trace as JSON lines, added to the folder; and, if send is given, passed to it by each task in lists of at most `batch` lines.
+
+    send may see a line again if a task is repeated; what it raises fails the task.
+    """
+    trace.write.mode("append").json(folder)
+    if send is not None:
+
+        def each(rows: Iterator[Row]) -> None:
+            waiting = []
+            for r in rows:
+                waiting.append(r["line"])
+                if len(waiting) == batch:
+                    send(waiting)
+                    waiting = []
+            if waiting:
+                send(waiting)
+
+        trace.select(F.to_json(F.struct(*trace.columns)).alias("line")).foreachPartition(each)
+
+
 def usage(trace: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of tokens, calls and milliseconds of a trace."""
     return trace.groupBy(*keys).agg(F.count("*").alias("steps"), *[F.sum(c).alias(c) for c in ("tool_calls", "prompt_tokens", "completion_tokens", "ms")])

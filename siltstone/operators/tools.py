@@ -120,11 +120,12 @@ def read_guidelines(c: Context, topic: str | None = None) -> str:
     return (found[0]["text"] if found else "") or "No guidelines."
 
 
-def recall_memory(c: Context, query: str, category: str | None = None, k: int = 3) -> str:
+def recall_memory(c: Context, query: str, category: str | None = None, k: int = 3, kind: str | None = None) -> str:
     memory = c.tables.get("memory")
     if memory is None:
         return "No relevant memory."
     pool = memory if category is None else memory.where(F.col("category") == category)
+    pool = pool if kind is None else pool.where(F.col("kind") == kind)
     embedded = pool.where(F.size("vector") > 0) if c.embed is not None and "vector" in memory.columns else None
     form = "concat('[', kind, '] (', category, ') ', title, ': ', text)"
     if embedded is not None and not embedded.isEmpty():

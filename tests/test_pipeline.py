@@ -64,6 +64,66 @@ def test_cases_from_fixes(spark):
     assert {(r.line, r.end_line, r.category, r.severity) for r in out["labels"].collect()} == {(4, 5, "concurrency", "medium"), (9, 9, "concurrency", "medium")}
 
 
+def test_review_with_triage_memory_and_repair(spark):
+    finding = {"file": "f.c", "line": 5, "severity": "high", "title": "t", "rationale": "r", "confidence": 0.9}
+
+    class Reviewer:
+        def chat(self, request):
+            said = request["messages"][0]["content"]
+            if said.startswith("Give this as one valid JSON object"):
+                return json.dumps({"findings": [{**finding, "line": 9}]}) if "broken" in said else "{}"
+            if "Dimension: correctness" in said:
+                return '{"findings": [broken "file"'
+            assert "Dimension: memory" in said and "## Confirmed before\n- old.c: leak" in said
+            return json.dumps({"findings": [finding, {**finding, "line": 50}]})
+
+    class Triage:
+        def chat(self, request):
+            return '```json\n{"dimensions": ["memory", "nonsense"]}\n```'
+
+    prompts = spark.createDataFrame([("a", "diff")], "case_id string, prompt string")
+    plain = pl.asked(prompts, Reviewer(), None, ["case_id"], triage=Triage(), memory=spark.createDataFrame([("x", "confirmed_bug", "memory", "old.c", "leak", 1, 1)], "id string, kind string, category string, file string, title string, created int, seq int"))
+    rows = plain.collect()
+    assert {(r.category, r.line) for r in rows} == {("memory", 50), ("correctness", 9)} or {(r.category, r.line) for r in rows} == {("memory", 5), ("memory", 50)}
+    known_false = next(r.id for r in rows if r.line == 50)
+    memory = spark.createDataFrame([("x", "confirmed_bug", "memory", "old.c", "leak", 1, 1), (known_false, "false_positive", "memory", "f.c", "t", 1, 1)], "id string, kind string, category string, file string, title string, created int, seq int")
+    assert 50 not in {r.line for r in pl.asked(prompts, Reviewer(), None, ["case_id"], triage=Triage(), memory=memory).collect()}
+
+    class Broken:
+        def chat(self, request):
+            raise ConnectionError
+
+    assert {r.category for r in pl.triaged(prompts, Broken(), ["case_id"]).collect()} == {r.category for r in pl.triaged(prompts, None, ["case_id"]).collect()} and pl.triaged(prompts, Broken(), ["case_id"]).count() == 6
+    assert pl.asked(prompts, Broken(), Broken(), ["case_id"]).count() == 0
+
+
+def test_a_model_judges_cases(spark):
+    class Judge:
+        def chat(self, request):
+            return json.dumps({"judgments": [{"id": "x", "valid": False, "score": 0.2}]})
+
+    f = spark.createDataFrame([("a", 1, "x", "f", 1, "t", "r"), ("a", 2, "y", "f", 2, "t", "r")], "case_id string, seq int, id string, file string, line int, title string, rationale string")
+    got = {r.case_id: (r.n, r.valid_rate, r.mean_score) for r in pl.judged_by(f, spark.createDataFrame([("a",), ("b",)], "case_id string"), Judge(), ["case_id"]).collect()}
+    assert got == {"a": (2, 0.5, 0.35), "b": (0, 1.0, 1.0)}
+
+
+def test_traces_are_added_and_sent(spark, tmp_path):
+    from siltstone.operators.state import append_trace
+
+    trace = spark.createDataFrame([(i, "verify") for i in range(7)], "step int, node string").repartition(1)
+    out = str(tmp_path / "sent")
+
+    def send(lines):
+        with open(out, "a") as f:
+            f.write(f"{len(lines)} {lines[0]}\n")
+
+    append_trace(trace, str(tmp_path / "trace"), send, batch=3)
+    append_trace(trace, str(tmp_path / "trace"))
+    assert spark.read.json(str(tmp_path / "trace")).count() == 14
+    sent = open(out).read().splitlines()
+    assert [int(x.split(" ")[0]) for x in sent] == [3, 3, 1] and json.loads(sent[0].split(" ", 1)[1])["node"] == "verify"
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_commands(spark, tmp_path, capsys):
     assert main(["review", str(DATA), "--out", str(tmp_path / "md"), "--fail-on", "critical"], spark) == 2
