@@ -154,8 +154,8 @@ class NearDuplicates:
             ]
         )
         probes = self.classes.select("class_id", F.explode(forms).alias("form"))
-        # a form that only one class has is dropped where it is counted; the join finds its rows already in place
-        shared = probes.withColumn("n", F.count("*").over(Window.partitionBy("form"))).where("n > 1")
+        # forms that only one class has, most of them, go before anything is joined
+        shared = staged(probes.withColumn("n", F.count("*").over(Window.partitionBy("form"))).where("n > 1"), "shared-forms")
         cold = shared.where(F.col("n") <= HOT_FORM)
         candidates = cold.select(F.col("class_id").alias("a"), "form").join(cold.select(F.col("class_id").alias("b"), "form"), "form").where("a < b").select("a", "b").distinct()
         code_of = lambda side: self.classes.select(F.col("class_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in codes])
