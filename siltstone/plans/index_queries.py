@@ -12,6 +12,7 @@ from siltstone.operators import state as st
 from siltstone.plans import views
 from siltstone.plans.review_queries import LANGUAGE_CASE_SQL
 from siltstone.plans.views import with_views
+from siltstone.session import staged
 from siltstone.sources.tables import table
 
 SITE_ORDER = ["file", "line", "site", "chunk_seq"]
@@ -363,8 +364,10 @@ def graph_layers(spark: SparkSession, folder: str) -> DataFrame:
     """A layered run over each dimension's findings: count in the first layer, drop empty ones in the second, sum up in the third."""
     from siltstone.operators.runtime import DIMENSIONS, Node, run_layers
 
-    f = views.findings(spark, folder)
-    of = lambda d: lambda state: {"dimension_findings": {d: f.where(F.col("category") == d).groupBy("case_id").agg(F.count("*").alias("n"))}}
+    # all dimensions are counted in one pass, and each node takes its own
+    f = views.findings(spark, folder).where(F.col("category").isin(DIMENSIONS))
+    counts = staged(f.groupBy("category", "case_id").agg(F.count("*").alias("n")), "dimension-counts")
+    of = lambda d: lambda state: {"dimension_findings": {d: counts.where(F.col("category") == d).select("case_id", "n")}}
 
     def combine(state: dict) -> dict:
         out = None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import clean_path, severity_rank
+from siltstone.session import small, staged
 from siltstone.sources.tables import table
 
 #: Confidence of a finding that names none.
@@ -49,8 +50,11 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Code chunks, each once. The whole texts move to their chunk_seq: queries whose rows tell repeats apart by themselves read raw_chunks."""
-    return raw_chunks(spark, folder).dropDuplicates(["chunk_seq"])
+    """Code chunks, each once. Repeats are found by chunk_seq alone, so only their texts move; queries whose rows tell repeats apart by themselves read raw_chunks."""
+    raw = raw_chunks(spark, folder)
+    twice = staged(raw.groupBy("chunk_seq").count().where("count > 1").select("chunk_seq"), "repeated-chunks")
+    known = small(twice)
+    return raw.join(known, "chunk_seq", "left_anti").unionByName(raw.join(known, "chunk_seq", "left_semi").dropDuplicates(["chunk_seq"]))
 
 
 def raw_chunks(spark: SparkSession, folder: str) -> DataFrame:

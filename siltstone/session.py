@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,6 +31,7 @@ def local_session(name: str = "siltstone", cpus: int | str = 8, memory: str = "8
 
 
 _own_dir: str | None = None
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,12 +51,31 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read back: its lineage ends there, so a lost executor repeats nothing before it.
 
-    The table is Parquet with zstd and goes away when the driver's JVM ends.
+    The table is Parquet with zstd and goes away when drop_staged is called, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that were staged so far, once nothing reads them any more; returns their number. For drivers that live long."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+#: Most rows of a narrow table that is broadcast once they are counted.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df as a broadcast side if its counted rows are within BROADCAST_ROWS, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
