@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import staged
+from siltstone.session import small, staged
 
-#: Words of a shingle, and the most rows of an item-side table that is broadcast (64 bytes a row); beyond it the join shuffles.
-SHINGLE, BROADCAST_ROWS = 3, 500_000
+#: Words of a shingle.
+SHINGLE = 3
 
 
 def words_of(text: Column) -> Column:
@@ -23,11 +23,6 @@ def shingles_of(words: Column) -> Column:
     )
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df as a broadcast side if its counted rows are within BROADCAST_ROWS, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def prefixes_of(windows: DataFrame, hits: DataFrame, run: int) -> DataFrame:
     """The rarest shingle of each item window, by the number of documents it stands in: item_id, variant, window_at, offset and shingle.
 
@@ -49,9 +44,9 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     hashes and counted; only the prefixes are joined to them, which fixes where the window would lie in the document, and places where it
     doesn't fit are ruled out by position and length. What is left, one row for each document, item and diagonal with its window
     places, is verified on the words themselves: the documents that have such a row are read again, and the words of the two windows
-    must be equal one by one. A document's words are never shuffled while its candidates are within BROADCAST_ROWS.
+    must be equal one by one. A document's words are never shuffled while its candidates are within session.BROADCAST_ROWS.
 
-    Item-side tables and candidates are broadcast only while their counted rows are within BROADCAST_ROWS. Documents are never collected
+    Item-side tables and candidates are broadcast only while their counted rows are within session.BROADCAST_ROWS. Documents are never collected
     or grouped: a source or a copied text with a third of all rows is a third of independent rows. Null, empty and shorter texts
     of either side hold nothing; a repeated id of either side is compared with each of its texts; empty tables give no rows.
     """

@@ -30,7 +30,7 @@ SENTENCE_WEIGHT, PRIOR = 2.0, 1.0
 #: Levels and difficulties are fitted in turn until documents move by less than STILL of a band on average; MOST_TURNS is far beyond what that
 #: takes. Within a turn the items' totals by level are renewed ROUNDS times, each after STEPS of Newton's for every item: a turn need not end the
 #: inner fit, for the next one goes on with it.
-STILL, MOST_TURNS, ROUNDS, STEPS = 0.05, 20, 4, 4
+STILL, MOST_TURNS, ROUNDS, STEPS = 0.07, 20, 4, 4
 #: Items whose difficulties are broadcast: the most frequent ones; others are joined, and they are too rare for a hot key.
 HEAD_ITEMS = 200_000
 

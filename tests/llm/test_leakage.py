@@ -1,6 +1,7 @@
 import random
 import re
 
+from siltstone import session
 from siltstone.llm import leakage
 
 DOCS, ITEMS = "doc_id bigint, text string, words string, shingle string", "item_id bigint, text string, words string"
@@ -50,7 +51,7 @@ def test_equals_brute_force(spark):
 
 
 def test_equals_brute_force_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     docs, items = made(random.Random(2))
     assert run(spark, docs, items) == brute(docs, items)
 
