@@ -216,6 +216,7 @@ def braced_symbols(tokens: list[Token], language: str) -> list[Symbol]:
     family, head_of = DIALECTS.get(language, language), HEADS[language]
     found: list[Symbol] = []
     frames = [Frame("", "top")]
+    open_ = dict.fromkeys("([{<", 0)
     last = 1
 
     def finish(frame: Frame) -> None:
@@ -250,12 +251,14 @@ def braced_symbols(tokens: list[Token], language: str) -> list[Symbol]:
             elif t.text == "(" and family == "go" and [x.text for x in frame.head] == ["type"]:
                 within = "types"
             frames.append(Frame(t.text, within, symbol=symbol))
+            open_[t.text] += 1
         elif t.kind == "p" and t.text in ")]}":
-            if not any(f.bracket == GROUPS[t.text] for f in frames):
+            if not open_[GROUPS[t.text]]:
                 frame.head = []
             else:
                 while True:
                     closed = frames.pop()
+                    open_[closed.bracket] -= 1
                     if closed.bracket == "{" or closed.within == "types":
                         finish(closed)
                     if closed.symbol:
@@ -270,10 +273,15 @@ def braced_symbols(tokens: list[Token], language: str) -> list[Symbol]:
                     outer.head.append(Token({")": "()", "]": "[]", "}": "{}"}[t.text], t.line, "p"))
         elif t.text == ";" and t.kind == "p":
             finish(frame)
+        elif t.text == "," and (frame.bracket in ("(", "[") or frame.within == "object" or frame.head and frame.head[-1].text == "{}"):
+            # a list's elements are statements of their own, however long it is
+            frame.head = []
         elif t.text == "<" and family == "cpp" and frame.head and frame.head[-1].text == "template":
             frames.append(Frame("<", "template"))
+            open_["<"] += 1
         elif t.text == ">" and frame.bracket == "<":
             frames.pop()
+            open_["<"] -= 1
             frames[-1].head.append(Token("<>", t.line, "p"))
         elif t.text == ":" and family == "cpp" and len(frame.head) == 1 and frame.head[0].text in ("public", "private", "protected"):
             frame.head = []

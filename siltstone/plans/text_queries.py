@@ -68,10 +68,10 @@ SELECT doc_id, x.file AS file, TRY_CAST(x.line AS INT) AS line, TRY_CAST(x.col A
 
 
 def parse_go_vet_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return tt.go_vet_findings(_documents(spark, folder).where("doc_kind = 'tool_log'"), ["doc_id"])
+    return tt.go_vet_findings(_documents(spark, folder), ["doc_id"])
 
 
-GO_VET_SQL = r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS line FROM documents WHERE text IS NOT NULL AND doc_kind = 'tool_log'),
+GO_VET_SQL = r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS line FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, regexp_extract(line, '^(.*?):(\d+):(\d+):\s+(.*)$', ['file', 'line', 'col', 'message']) AS x FROM l WHERE regexp_matches(line, '^(.*?):(\d+):(\d+):\s+(.*)$'))
 SELECT doc_id, x.file AS file, TRY_CAST(x.line AS INT) AS line, TRY_CAST(x.col AS INT) AS "column", 'warning' AS severity, 'go-vet' AS rule, x.message AS message FROM m"""
 
@@ -194,7 +194,7 @@ AND NOT regexp_matches(file, '\.min\.(js|css)$') AND NOT regexp_matches(file, '(
 
 
 def infer_category(spark: SparkSession, folder: str) -> DataFrame:
-    """Category, severity and slug of each document's text, as of a commit message."""
+    """Category and severity of each document's text, as of a commit message."""
     t = _documents(spark, folder)
     return t.select("doc_id", fn.infer_category(F.col("text")).alias("category"), fn.infer_severity(F.col("text")).alias("severity"))
 

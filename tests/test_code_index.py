@@ -95,3 +95,14 @@ def test_calls_are_outside_comments_and_strings():
     assert [tuple(c) for c in calls_of(source, "python")] == [(4, None, "helper"), (5, "log", "flush"), (7, "b", "c")]
     assert [c.callee for c in calls_of("int f(int a) { /* g(1) */ return h(a) + p->q(2) + \"r(3)\"[0]; }", "cpp")] == ["h", "q"]
     assert [c.callee for c in calls_of("const f = async (a) => `x ${y(1)}` + z(2); new T(3); function k() {}", "typescript")] == ["z"]
+
+
+def test_scanning_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for lang in ("cpp", "javascript", "go", "rust", "java", "python"):
+        for text in ("{" * 60_000 + ")" * 60_000, "(" * 100_000, "}" * 100_000, "x = [" + "{a: 1}, " * 20_000 + "]", "int t[] = {" + "{1, 2}, " * 20_000 + "};", "a " * 100_000, "'" * 50_001, "/*" * 50_000, "f(" * 30_000 + ")" * 30_000):
+            symbols_of(text, lang)
+            calls_of(text, lang)
+    assert time.perf_counter() - began < 60
