@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from siltstone.session import staged
 
-#: Rows of a tile (with its partner and the products it bounds a task's memory) and of a block of products within.
-TILE_ROWS, BLOCK_ROWS = 65_536, 2_048
+#: Rows of a tile (with its partner it bounds a task's memory) and of a block of products within, which stays in a core's cache.
+TILE_ROWS, BLOCK_ROWS = 65_536, 1_024
 #: Sums of products of codes below this are whole numbers in float32 too.
 WHOLE_FLOAT = 1 << 24
 
@@ -50,12 +50,13 @@ def coded(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 def int8_product() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """The products of the int8 rows of one matrix with those of another, summed exactly: int32 by the processor's int8 instructions (a graph of one
-    node, on one thread), or whole numbers in float32 where nothing is installed that multiplies int8."""
+    node, on one thread), or whole numbers in float32 where nothing is installed that multiplies int8, or the processor doesn't do so exactly."""
+    kind = lambda a: np.float32 if a.shape[1] * 127 * 127 < WHOLE_FLOAT else np.int64
+    by_float = lambda a, b: a.astype(kind(a)) @ b.astype(kind(a)).T
     try:
         import onnxruntime
     except ImportError:
-        kind = lambda a: np.float32 if a.shape[1] * 127 * 127 < WHOLE_FLOAT else np.int64
-        return lambda a, b: a.astype(kind(a)) @ b.astype(kind(a)).T
+        return by_float
 
     def number(n: int) -> bytes:
         return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
@@ -67,13 +68,19 @@ def int8_product() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         shape = b"".join(field(1, field(2, side)) for side in sides)
         return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
 
-    # in the ONNX format 3 is int8 and 6 int32
-    node = field(1, b"a") + field(1, b"b") + field(2, b"y") + field(4, b"MatMulInteger")
-    graph = field(1, node) + field(2, b"product") + field(11, matrix(b"a", 3, b"n", b"k")) + field(11, matrix(b"b", 3, b"k", b"m")) + field(12, matrix(b"y", 6, b"n", b"m"))
+    # in the ONNX format 2 is uint8, 3 int8 and 6 int32; processors multiply unsigned codes with signed ones, so one side's are shifted and a zero point
+    # takes that back
+    node = field(1, b"a") + field(1, b"b") + field(1, b"zero") + field(2, b"y") + field(4, b"MatMulInteger")
+    sides = [matrix(b"a", 2, b"n", b"k"), matrix(b"b", 3, b"k", b"m"), matrix(b"zero", 2)]
+    graph = field(1, node) + field(2, b"product") + b"".join(field(11, x) for x in sides) + field(12, matrix(b"y", 6, b"n", b"m"))
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = options.inter_op_num_threads = 1
     session = onnxruntime.InferenceSession(field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13)), options, providers=["CPUExecutionProvider"])
-    return lambda a, b: session.run(None, {"a": a, "b": np.ascontiguousarray(b.T)})[0]
+    zero = np.array(128, np.uint8)
+    by_int8 = lambda a, b: session.run(None, {"a": a.view(np.uint8) ^ zero, "b": np.ascontiguousarray(b.T), "zero": zero})[0]
+    # some older processors cut sums of two products at 16 bits: there the greatest codes give it away
+    far = np.repeat(np.array([[127], [-127]], np.int8), 64, axis=1)
+    return by_int8 if (by_int8(far, far) == by_float(far, far)).all() else by_float
 
 
 class Nearest:
@@ -100,20 +107,29 @@ class Nearest:
         for some in range(0, len(at), 1 << 20):
             i, j = np.divmod(at[some : some + (1 << 20)], cosines.shape[1])
             rows, cols = (j, i) if down else (i, j)
-            found = cosines[i, j]
-            keep = (found >= self.floor[rows]) & ~np.isneginf(found)
-            rows, cols, found = rows[keep], cols[keep], found[keep]
-            self.seen.append((rows, cols + first, found))
-            k, heaps = self.k, self.heaps
-            for row, cosine in zip(rows.tolist(), found.tolist()):
-                heap = heaps[row]
-                if len(heap) < k:
-                    heappush(heap, cosine)
-                elif cosine > heap[0]:
-                    heapreplace(heap, cosine)
-            for row in np.unique(rows).tolist():
-                if len(heaps[row]) == k:
-                    self.floor[row] = max(self.floor[row], np.float32(heaps[row][0] - 2 * self.margin))
+            self.take(rows, cols + first, cosines[i, j])
+
+    def least_product(self, factor: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The least whole product of codes by which each row can still meet its floor, with any of the other factors."""
+        return np.clip(np.floor(self.floor / (factor * np.where(self.floor >= 0, others.max(), others.min()))) - 1, -(2**31), 2**31 - 1).astype(np.int32)
+
+    def take(self, rows: np.ndarray, cols: np.ndarray, found: np.ndarray) -> None:
+        """Approximate cosines of some rows with some columns: those that meet the floors are kept and enter the heaps."""
+        keep = (found >= self.floor[rows]) & ~np.isneginf(found)
+        if not keep.any():
+            return
+        rows, cols, found = rows[keep], cols[keep], found[keep]
+        self.seen.append((rows, cols, found))
+        k, heaps = self.k, self.heaps
+        for row, cosine in zip(rows.tolist(), found.tolist()):
+            heap = heaps[row]
+            if len(heap) < k:
+                heappush(heap, cosine)
+            elif cosine > heap[0]:
+                heapreplace(heap, cosine)
+        for row in set(rows.tolist()):
+            if len(heaps[row]) == k:
+                self.floor[row] = max(self.floor[row], np.float32(heaps[row][0] - 2 * self.margin))
 
     def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, column and approximate cosine of what the floors leave at the end."""
@@ -148,13 +164,24 @@ def tile_pairs(k: int, least: float) -> Callable[[tuple, pd.DataFrame], pd.DataF
                 for t, nearest_b in zip(blocks(len(b)), of_b):
                     if i == j and t.start < s.start:
                         continue
-                    cosines = np.multiply(product(a[s], b[t]), factor_b[t], dtype=np.float32)
-                    cosines *= factor_a[s][:, None]
-                    if i == j and s == t:
-                        np.fill_diagonal(cosines, -np.inf)
-                    of_a.absorb(cosines, t.start)
-                    if i != j or s != t:
-                        nearest_b.absorb(cosines, s.start, down=True)
+                    whole, own = product(a[s], b[t]), i == j and s == t
+                    if own or np.isneginf(of_a.floor).any() or np.isneginf(nearest_b.floor).any():
+                        cosines = whole * factor_b[t] * factor_a[s][:, None]
+                        if own:
+                            np.fill_diagonal(cosines, -np.inf)
+                        of_a.absorb(cosines, t.start)
+                        if not own:
+                            nearest_b.absorb(cosines, s.start, down=True)
+                        continue
+                    # whole numbers are compared with whole ones, and only what either side can use is turned into cosines
+                    some = whole >= of_a.least_product(factor_a[s], factor_b[t])[:, None]
+                    some |= whole >= nearest_b.least_product(factor_b[t], factor_a[s])[None, :]
+                    at = np.flatnonzero(some)
+                    if len(at):
+                        row, col = np.divmod(at, whole.shape[1])
+                        found = whole[row, col] * factor_b[t][col] * factor_a[s][row]
+                        of_a.take(row, col + t.start, found)
+                        nearest_b.take(col, row + s.start, found)
                 if i != j:
                     row, col, cosine = of_a.kept()
                     out.append((ids_a[row + s.start], ids_b[col], cosine))
