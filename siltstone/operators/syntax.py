@@ -324,8 +324,7 @@ def python_symbols(tokens: list[Token], text: str) -> list[Symbol]:
     return found
 
 
-def declarations(text: str, language: str) -> list[Symbol]:
-    tokens = tokens_of(text, language)
+def declarations(text: str, language: str, tokens: list[Token]) -> list[Symbol]:
     return python_symbols(tokens, text) if language == "python" else braced_symbols(tokens, language)
 
 
@@ -336,7 +335,7 @@ def symbols_of(text: str | None, language: str | None) -> list[Symbol]:
     """
     if language not in PATTERNS or not text:
         return []
-    once = {(s.name, s.start_line, s.end_line): s for s in reversed(declarations(text, language)) if s.kind != "constructor"}
+    once = {(s.name, s.start_line, s.end_line): s for s in reversed(declarations(text, language, tokens_of(text, language))) if s.kind != "constructor"}
     return sorted(once.values(), key=lambda s: (s.start_line, -s.end_line, s.name))
 
 
@@ -346,8 +345,9 @@ def calls_of(text: str | None, language: str | None) -> list[Call]:
     if language not in PATTERNS or not text:
         return []
     family = DIALECTS.get(language, language)
-    tokens = [t for t in tokens_of(text, language) if t.kind != "n"]
-    declared = {(s.name.removeprefix("~"), s.start_line) for s in declarations(text, language)}
+    every = tokens_of(text, language)
+    tokens = [t for t in every if t.kind != "n"]
+    declared = {(s.name.removeprefix("~"), s.start_line) for s in declarations(text, language, every)}
     out = []
     for at, t in enumerate(tokens[:-1]):
         if t.kind != "w" or tokens[at + 1].text != "(" or t.text in CONTROL[family]:
