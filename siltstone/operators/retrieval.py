@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import math
+import re
+from array import array
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.review import keywords
+from siltstone.session import small, staged
 
 #: Rows of a tile of the collection and of a block of queries; the two and their products fit into one task.
 TILE_ROWS, QUERY_ROWS = 65_536, 2_048
-#: Records of a block of keyword search.
-BLOCK_RECORDS = 20_000
+#: Records and characters of a block of keyword search, and queries that meet it at once.
+BLOCK_RECORDS, BLOCK_CHARS, BLOCK_QUERIES = 20_000, 32_000_000, 100_000
+#: Bytes of the rows of frequent words in a block of keyword search, one byte a record.
+ROW_BYTES = 32_000_000
+#: What can hold a keyword in a lower-cased text.
+HOLDER = re.compile(r"[a-z0-9_]{4,}")
 
 
 def _scores(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -65,18 +75,81 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _recalled(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def postings(texts: list[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The records of each term, terms one after the other, and where each term begins."""
+        lengths: dict[str, set[int]] = {}
+        for t in numbers:
+            lengths.setdefault(t[:4], set()).add(len(t))
+        # a term is one run of word characters, so it stands in a text where it stands in a word of it; every word is taken apart once
+        held: dict[str, set[int]] = {}
+        term, record = array("i"), array("i")
+        for j, said in enumerate(texts):
+            own: set[int] = set()
+            for word in set(HOLDER.findall(said)):
+                if (has := held.get(word)) is None:
+                    has = held[word] = {numbers[t] for i in range(len(word) - 3) for n in lengths.get(word[i : i + 4], ()) if (t := word[i : i + n]) in numbers}
+                own |= has
+            term.extend(own)
+            record.extend(repeat(j, len(own)))
+        term = np.frombuffer(term, np.int32) if term else np.empty(0, np.int32)
+        record = np.frombuffer(record, np.int32) if record else np.empty(0, np.int32)
+        return record[np.argsort(term, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(numbers)))])
+
+    def each(queries: pa.Table, records: pa.Table) -> pa.Table:
+        records = records.take(pc.sort_indices(records, [("seq", "ascending"), ("id", "ascending")], null_placement="at_start"))
+        asked: dict[tuple[str, ...], list[int]] = {}  # equal wordings are scored once
+        for i, terms in enumerate(queries["terms"].to_pylist()):
+            asked.setdefault(tuple(sorted(terms)), []).append(i)
+        numbers = {t: i for i, t in enumerate(dict.fromkeys(t for terms in asked for t in terms))}
+        n, query, found, scores = len(records), array("q"), array("q"), array("q")
+        if n and numbers:
+            at, starts = postings(records["said"].to_pylist(), numbers)
+            rows = {}
+            for t in np.argsort(-np.diff(starts), kind="stable")[: ROW_BYTES // n].tolist():
+                rows[t] = np.zeros(n, np.uint8)
+                rows[t][at[starts[t] : starts[t + 1]]] = 1
+            kind = np.min_scalar_type(max(map(len, asked)))
+            for terms, who in asked.items():
+                score = np.zeros(n, kind)
+                for t in map(numbers.__getitem__, terms):
+                    if t in rows:
+                        score += rows[t]
+                    else:
+                        score[at[starts[t] : starts[t + 1]]] += 1
+                for _ in range(min(k, n)):
+                    best = int(score.argmax())  # the first of the greatest, and records are in order of seq
+                    if not score[best]:
+                        break
+                    query.extend(who)
+                    found.extend(repeat(best, len(who)))
+                    scores.extend(repeat(int(score[best]), len(who)))
+                    score[best] = 0
+        query, found = pa.array(query, pa.int64()), pa.array(found, pa.int64())
+        return pa.table({"query_id": queries["query_id"].take(query), "id": records["id"].take(found), "seq": records["seq"].take(found), "score": pa.array(scores, pa.int64())})
+
+    return each
+
+
 def keyword_recall(queries: DataFrame, memory: DataFrame, k: int = 3) -> DataFrame:
     """For each query (query_id, category, query) the k records of its category with the most query words in title or text (as parts of words, repeats
-    counted; at least one): query_id, id, score, place. Ties go to the smaller seq.
+    counted; at least one): query_id, id, score, place. Ties go to the smaller seq, then id.
 
-    The records of a category are dealt into blocks of about BLOCK_RECORDS by their hash and every query goes to each block of its category:
-    the join is on (category, block), so a category with a third of all records spreads over many tasks. Queries are a stated set,
-    much smaller than the records.
+    The records of a category are dealt by their hash into blocks of about BLOCK_RECORDS and BLOCK_CHARS, its queries into blocks of about BLOCK_QUERIES,
+    and every block of queries meets every block of records once, so a category with a third of all records spreads over many tasks. There each word of the
+    records is taken apart once; a query adds up the rows of its words (a byte a record) and keeps k. Memory is read twice: for the sizes, and for its texts.
     """
-    blocks = max(1, math.ceil(memory.count() / BLOCK_RECORDS))
-    terms = queries.select("query_id", "category", keywords(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    terms = terms.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pool = memory.select("id", "seq", "category", F.lower(F.concat_ws(" ", "title", "text")).alias("said"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    scored = terms.join(pool, ["category", "block"]).withColumn("score", F.size(F.filter("terms", lambda t: F.contains(F.col("said"), t)))).where("score > 0")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))
-    return scored.select("query_id", "id", "seq", F.col("score").cast("long").alias("score")).withColumn("place", place).where(F.col("place") <= k).drop("seq")
+    terms = queries.select("query_id", "category", keywords(F.col("query")).alias("terms")).where("category IS NOT NULL AND size(terms) > 0")
+    pool = memory.where("category IS NOT NULL").select("id", "seq", "category", F.lower(F.concat_ws(" ", "title", "text")).alias("said"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_RECORDS, F.sum(F.length("said")) / BLOCK_CHARS, F.lit(1.0))).cast("int")
+    sizes = pool.groupBy("category").agg(blocks.alias("blocks")).join(terms.groupBy("category").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks")), "category")
+    sizes = small(staged(sizes, "recall-blocks"))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["category", "query_block", "block"]
+    q = terms.join(sizes, "category").select("category", dealt("query_blocks", "query_id", "terms").alias("query_block"), every("blocks").alias("block"), "query_id", "terms").groupBy(*keys)
+    r = pool.join(sizes, "category").select("category", every("query_blocks").alias("query_block"), dealt("blocks", "id", "seq").alias("block"), "id", "seq", "said").groupBy(*keys)
+    types = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", *(f"{c} {memory.schema[c].dataType.simpleString()}" for c in ("id", "seq")), "score bigint"]
+    scored = q.cogroup(r).applyInArrow(_recalled(k), ", ".join(types))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq", "id"))
+    return scored.withColumn("place", place).where(F.col("place") <= k).drop("seq")
